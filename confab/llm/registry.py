@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("toxicity",)
+_MODULES = ("toxicity", "simhash")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
