@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("toxicity", "simhash")
+_MODULES = ("toxicity", "simhash", "decontaminate")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
