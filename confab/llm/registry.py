@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("toxicity", "simhash", "decontaminate")
+_MODULES = ("toxicity", "simhash", "decontaminate", "secrets")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
