@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("toxicity", "simhash", "decontaminate", "secrets")
+_MODULES = ("toxicity", "simhash", "decontaminate", "secrets", "bpe")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
