@@ -30,3 +30,24 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank", partitions:
         .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << _SHIFT) - 1))
         .drop("_part", "_before", "_at")
     )
+
+
+def running_total(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``weight`` over all rows before it in the order of ``order``.
+
+    As :func:`global_rank`: one range shuffle, then sums within partitions, moved up by
+    the totals of the partitions before.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()), "total")
+    part = F.shiftright("_at", _SHIFT)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.sum(weight).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = sizes.select("_part", before.alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        numbered.withColumn("_part", part)
+        .join(F.broadcast(moved), "_part")
+        .withColumn(name, F.col("_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .drop("_part", "_before", "_at")
+    )
