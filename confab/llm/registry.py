@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("toxicity", "simhash", "decontaminate", "secrets", "bpe", "substrings", "pivots", "hilbert", "chat")
+_MODULES = ("toxicity", "simhash", "decontaminate", "secrets", "bpe", "substrings", "pivots", "hilbert", "chat", "quality")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
