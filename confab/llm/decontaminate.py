@@ -43,7 +43,8 @@ _GAP = -1  # word outside every item
 @dataclass(frozen=True)
 class AlignParams:
     n: int = 4
-    rare_share: float = 0.0005  # an n-gram in no more than this share of the documents is rare
+    rare_share: float = 0.01  # an n-gram in no more than this share of the documents is rare
+    rare_count: int = 50  # and so is one in no more than so many documents, which matters in small tables
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -145,16 +146,17 @@ class Items:
         return np.array(at_all, np.int64), np.array(gram_all, np.int64)
 
     def choose_seeds(self, df: dict[int, int], documents: int) -> None:
-        """Per item: the n-grams within ``rare_share``, and always the rarer half of all."""
+        """Per item: the rare n-grams and, if few are rare, the rarer half of those that occur."""
         self.seeds = [set() for _ in self.ids]
         of_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for g, places in enumerate(self.where):
             for k, at in places:
                 of_item[k].append((df.get(g, 0), at, g))
+        rare = max(self.params.rare_count, self.params.rare_share * documents)
         for k, found in of_item.items():
-            found.sort()
+            found = sorted(f for f in found if f[0])
             half = (len(found) + 1) // 2
-            self.seeds[k] = {g for i, (n, _, g) in enumerate(found) if i < half or n <= self.params.rare_share * documents}
+            self.seeds[k] = {g for i, (n, _, g) in enumerate(found) if i < half or n <= rare}
 
     def matches(self, words: list[str]) -> list[tuple[object, float]]:
         """(item id, score) of the items aligned to the words at or above the threshold."""

@@ -107,7 +107,7 @@ def shard_statistics(docs: DataFrame, params: HilbertParams = HilbertParams()) -
     """One row a shard: rows, size, and the bounds of each curve column, for pruning."""
     weight = F.greatest(F.coalesce(F.col(params.size).cast("bigint"), F.lit(0)), F.lit(0))
     placed = docs.select(*dict.fromkeys(params.columns), hilbert_column(docs, params).alias("_hilbert"), weight.alias("_weight"))
-    total = running_total(placed, ["_hilbert"], "_weight", "_before").withColumn("shard", F.floor(F.col("_before") / params.target).cast("bigint"))
+    total = running_total(placed, ["_hilbert"], "_weight", "_total").withColumn("shard", F.floor(F.col("_total") / params.target).cast("bigint"))
     bounds = [f(c).alias(f"{name}_{c}") for c in params.columns for name, f in (("min", F.min), ("max", F.max))]
     return total.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("_weight").alias("size"), *bounds)
 

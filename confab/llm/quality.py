@@ -7,8 +7,8 @@ rules and weights are compiled back into one Spark column, so scoring stays in t
 one scan, no shuffle, no Python.
 
 Edge cases: a null text counts as an empty one, whose statistics are 0, and is scored
-like any other; repeated rows score alike; without both classes among the labels every
-document is kept with score 1; null ids are scored; other columns are not read.
+like any other; repeated rows score alike; without both classes among the labels, or
+with too few rows for a rule, every document is kept with score 1; null ids are scored; other columns are not read.
 """
 
 from __future__ import annotations
@@ -171,6 +171,8 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], params: QualityParams
             if path in leaves:
                 score += params.shrink * 4 * value * holds(xt, path)
     rules = list(paths)
+    if not rules:
+        return QualityModel()  # the statistics tell nothing
     r = np.stack([holds(x, p) for p in rules], 1).astype(float)
     best = None
     for penalty in params.penalties:
