@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from confab.queries import store, timeline
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (store, timeline):
+    QUERIES |= _module.Q
+    ORACLES |= _module.SQL
