@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from confab.queries import store, timeline
+from confab.queries import language, store, timeline
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (store, timeline):
+for _module in (store, timeline, language):
     QUERIES |= _module.Q
     ORACLES |= _module.SQL
