@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from confab.queries import language, store, timeline
+from confab.queries import flows, language, store, timeline
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (store, timeline, language):
+for _module in (store, timeline, language, flows):
     QUERIES |= _module.Q
     ORACLES |= _module.SQL
