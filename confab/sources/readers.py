@@ -39,7 +39,7 @@ def textgrid_intervals(text: Column) -> Column:
 
 def read_textgrids(spark: SparkSession, path: str) -> DataFrame:
     """(path, idx, start_sec, end_sec, duration_sec, text)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.TextGrid").option("recursiveFileLookup", "true").text(path).withColumn("path", F.input_file_name())
+    files = spark.read.option("pathGlobFilter", "*.TextGrid").option("recursiveFileLookup", "true").text(path, wholetext=True).withColumn("path", F.input_file_name())
     rows = files.select("path", F.posexplode(textgrid_intervals(F.col("value"))).alias("idx", "r"))
     return rows.select("path", "idx", F.col("r.start").alias("start_sec"), F.col("r.end").alias("end_sec"), (F.col("r.end") - F.col("r.start")).alias("duration_sec"), F.col("r.text").alias("text"))
 
