@@ -153,22 +153,38 @@ def _by_text(windows: DataFrame) -> DataFrame:
     return windows.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("rows"))
 
 
-def _spans(params: SubstringParams):
-    least = params.min_words
+def _runs(length: int):
+    """(tid, length, starts, ends): runs of a level's windows, merged where ``length`` lets them touch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, lasts = [], []
+            for rows in batch.column(1):
+                at = rows.values.field("at").to_numpy()
+                cut = np.flatnonzero(np.diff(at) > length) + 1
+                firsts.append(at[np.concatenate([[0], cut])])
+                lasts.append(at[np.concatenate([cut - 1, [len(at) - 1]])] + length)
+            kind = pa.list_(pa.int32())
+            columns = [batch.column(0), pa.array([length] * batch.num_rows, pa.int32()), pa.array(firsts, kind), pa.array(lasts, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["tid", "length", "starts", "ends"])
+
+    return run
+
+
+def _spans(params: SubstringParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"tid": [], "start_word": [], "end_word": [], "longest": []}
-            for tid, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                length, at = rows.values.field("length").to_numpy(), rows.values.field("at").to_numpy()
-                ground = np.sort(at[length == least])
-                cut = np.flatnonzero(np.diff(ground) > least) + 1
-                starts, ends = ground[np.concatenate([[0], cut])], ground[np.concatenate([cut - 1, [len(ground) - 1]])] + least
-                longest = np.full(len(starts), least)
-                np.maximum.at(longest, np.searchsorted(starts, at, side="right") - 1, length)
+            for tid, levels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                starts = np.array(levels[0]["starts"])
+                longest = np.full(len(starts), params.min_words)
+                for level in levels[1:]:  # a run of longer windows lies within one span
+                    inside = np.searchsorted(starts, np.array(level["starts"]), side="right") - 1
+                    longest[inside] = level["length"]
                 out["tid"] += [tid] * len(starts)
-                for name, values in (("start_word", starts), ("end_word", ends), ("longest", longest)):
-                    out[name] += values.tolist()
+                out["start_word"] += levels[0]["starts"]
+                out["end_word"] += levels[0]["ends"]
+                out["longest"] += longest.tolist()
             kinds = {"tid": pa.int64(), "start_word": pa.int32(), "end_word": pa.int32(), "longest": pa.int32()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
@@ -199,7 +215,7 @@ def repeated_spans(docs: DataFrame, params: SubstringParams = SubstringParams())
         if now.isEmpty():
             release(spark, now)
             break
-        levels.append(now.select("tid", F.lit(length).alias("length"), F.explode("rows.at").alias("at")))
+        levels.append(now.mapInArrow(_runs(length), "tid long, length int, starts array<int>, ends array<int>"))
         windows = now.mapInArrow(_extend(length), "tid long, at int, h long")
         length *= 2
     copied = texts.where("copies > 1").select("t0", "t1", F.lit(0).alias("start_word"), F.col("words").alias("end_word"), (least * F.pow(2.0, F.floor(F.log2(F.col("words") / least)))).cast("int").alias("longest"))
@@ -208,7 +224,8 @@ def repeated_spans(docs: DataFrame, params: SubstringParams = SubstringParams())
         all_levels = levels[0]
         for level in levels[1:]:
             all_levels = all_levels.unionByName(level)
-        spans = all_levels.groupBy("tid").agg(F.collect_list(F.struct("length", "at")).alias("rows")).mapInArrow(_spans(params), "tid long, start_word int, end_word int, longest int")
+        runs = all_levels.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("length", "starts", "ends"))).alias("levels"))
+        spans = runs.mapInArrow(_spans(params), "tid long, start_word int, end_word int, longest int")
         single = texts.where("copies = 1").select("tid", "t0", "t1").join(spans, "tid").drop("tid")
         found = copied.unionByName(single.select(copied.columns))
     return first.select("doc_id", "t0", "t1").distinct().join(found, ["t0", "t1"]).select("doc_id", "start_word", "end_word", "longest")
