@@ -45,7 +45,7 @@ def aliases(word: str) -> set[str]:
         for mark in ".-":
             if mark in joined:
                 found |= {joined.replace(mark, ""), joined.replace(mark, " ")}
-        found.add(re.sub("(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", joined))
+        found.add(re.sub("([A-Z])(?=[A-Z][a-z])", r"\1 ", re.sub("([a-z0-9])([A-Z])", r"\1 \2", joined)))
         bare = joined.replace(".", "")
         if len(bare) > 1 and all(c.isupper() or c.isdigit() for c in bare):
             found.add(" ".join(bare))
@@ -65,7 +65,7 @@ class HotwordRewriter:
     def __init__(self, words: Iterable[str], fuzzy: bool = True, readings: Mapping[str, str] = READINGS):
         self.words = sorted({w.strip() for w in words if w and w.strip()})
         rules = sorted(((a, w) for w in self.words if w.isascii() for a in aliases(w)), key=lambda r: (-len(r[0]), r))
-        self.rules = [(re.compile(r"(?<![A-Za-z0-9])" + r"\s+".join(map(re.escape, a.split())) + r"(?![A-Za-z0-9])", re.I), w) for a, w in rules]
+        self.rules = [(re.compile(r"(?<![0-9A-Za-z])" + r"\s+".join(map(re.escape, a.split())) + r"(?![0-9A-Za-z])", re.I), w) for a, w in rules]
         self.readings = {c: frozenset(map(fuzzy_key, r.split())) for c, r in readings.items()} if fuzzy else {}
         spoken = [(w, [self.readings.get(c, frozenset()) for c in w]) for w in self.words if len(w) > 1 and HAN.fullmatch(w)]
         self.spoken = sorted(((w, r) for w, r in spoken if all(r)), key=lambda s: (-len(s[0]), s[0]))
@@ -143,7 +143,7 @@ def context_correction(context: str, candidates: list[str]) -> str | None:
 
 
 # Decoder assets
-SCORED = re.compile(r"\s:(\d+(?:\.\d+)?)\s*$")
+SCORED = re.compile(r"\s:([0-9]+(?:[.][0-9]+)?)\s*$")
 
 
 def _is_han(c: str) -> bool:

@@ -23,9 +23,9 @@ def data_points(text: Column) -> Column:
     again as a number.
     """
     made = lambda values, kind: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(kind).alias("type")))
-    percent = F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?\s*%)"), 1)
-    amount = F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?\s*[万亿元])"), 1)
-    whole = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{2,})(?!\d|\.?\d*%)"), 1)
+    percent = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.][0-9]+)?\s*%)"), 1)
+    amount = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.][0-9]+)?\s*[万亿元])"), 1)
+    whole = F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-9]{2,})(?![0-9]|[.]?[0-9]*%)"), 1)
     numbers = F.transform(F.filter(whole, lambda w: w.try_cast("decimal(38,0)") > 10), lambda w: w.try_cast("decimal(38,0)").cast("string"))
     return F.concat(made(percent, "percentage"), made(amount, "amount"), made(numbers, "number"))
 

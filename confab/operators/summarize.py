@@ -52,7 +52,7 @@ def overview(text: Column, limit: int = 360) -> Column:
 
 def unfenced(text: Column) -> Column:
     """JSON without the code fence around it."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^`{3}(json)?\s*", ""), r"\s*`{3}$", "")
 
 
 def redacted_key(key: Column) -> Column:
@@ -72,28 +72,29 @@ def as_list(value: object) -> list:
     return [] if value in (None, "") else list(value) if isinstance(value, (list, tuple)) else [value]
 
 
-def first_of(data: dict, *keys: str) -> str:
-    return next((data[k].strip() for k in keys if isinstance(data.get(k), str) and data[k].strip()), "")
+def first_of(data: dict, keys: str) -> str:
+    """First text that is not blank among the keys, which are listed with spaces between."""
+    return next((data[k].strip() for k in keys.split() if isinstance(data.get(k), str) and data[k].strip()), "")
 
 
 def _texts(*values: object) -> list[str]:
     return [s for s in (str(x).strip() for x in as_list(next((v for v in values if v), None))) if s]
 
 
-def _items(values: object, target: str, aliases: tuple[str, ...]) -> list[dict]:
+def _items(values: object, target: str, aliases: str) -> list[dict]:
     """Texts or objects as objects whose ``target`` is set from the first alias that has a text."""
     out = []
     for item in as_list(values):
         if isinstance(item, str):
             out.append({target: item.strip()})
         elif isinstance(item, dict):
-            out.append({**item, target: first_of(item, *aliases)})
+            out.append({**item, target: first_of(item, aliases)})
     return [x for x in out if x[target]]
 
 
-TASK = ("task", "content", "action", "description")
-CONTENT = ("content", "decision", "summary", "description")
-RISK = ("description", "risk", "content", "summary")
+TASK = "task content action description"
+CONTENT = "content decision summary description"
+RISK = "description risk content summary"
 
 
 def normalize_single(data: dict, fallback: str = "") -> dict:
@@ -102,13 +103,13 @@ def normalize_single(data: dict, fallback: str = "") -> dict:
     topics = []
     for item in as_list(data.get("topics") or data.get("main_topics")):
         own = {"topic": item} if isinstance(item, str) else item if isinstance(item, dict) else {}
-        name, text = first_of(own, "topic", "title", "name", "label"), first_of(own, "summary", "content", "description", "key_points")
+        name, text = first_of(own, "topic title name label"), first_of(own, "summary content description key_points")
         if name or text:
             topics.append({"topic": name or "内容要点", "summary": text, "speakers": as_list(own.get("speakers"))})
-    voices = [{**x, "speaker": first_of(x, "speaker", "speaker_name", "name"), "contribution": first_of(x, "contribution", "content", "summary")} for x in as_list(data.get("speaker_contributions") or data.get("contributions")) if isinstance(x, dict)]
+    voices = [{**x, "speaker": first_of(x, "speaker speaker_name name"), "contribution": first_of(x, "contribution content summary")} for x in as_list(data.get("speaker_contributions") or data.get("contributions")) if isinstance(x, dict)]
     return {
         **data,
-        "overview": first_of(data, "overview", "meeting_summary", "summary", "executive_summary") or fallback,
+        "overview": first_of(data, "overview meeting_summary summary executive_summary") or fallback,
         "topics": topics,
         "decisions": _items(data.get("decisions") or data.get("key_decisions"), "content", CONTENT),
         "action_items": _items(data.get("action_items") or data.get("tasks") or data.get("todos"), "task", TASK),
@@ -125,7 +126,7 @@ def normalize_multi(data: dict) -> dict:
     dicts = lambda key: [x for x in as_list(data.get(key)) if isinstance(x, dict)]
     meetings = [
         {
-            **m, "record_id": first_of(m, "record_id", "id"), "title": first_of(m, "title", "meeting_title", "name"), "date": first_of(m, "date", "meeting_date", "created_at"), "summary": first_of(m, "summary", "overview", "meeting_summary"),
+            **m, "record_id": first_of(m, "record_id id"), "title": first_of(m, "title meeting_title name"), "date": first_of(m, "date meeting_date created_at"), "summary": first_of(m, "summary overview meeting_summary"),
             "topics": _texts(m.get("topics"), m.get("key_topics")), "decisions": _texts(m.get("decisions"), m.get("decisions_made")), "action_items": _texts(m.get("action_items"), m.get("tasks")),
         }
         for m in (dicts("meeting_summaries") or dicts("meeting_overviews"))
@@ -133,16 +134,16 @@ def normalize_multi(data: dict) -> dict:
     common = []
     for item in as_list(data.get("common_topics") or data.get("common_themes")):
         own = {"topic": item, "mentioned_in": []} if isinstance(item, str) else item if isinstance(item, dict) else {}
-        name, text = first_of(own, "topic", "theme", "title", "name"), first_of(own, "description", "summary", "content")
+        name, text = first_of(own, "topic theme title name"), first_of(own, "description summary content")
         if name or text:
             common.append({**own, "topic": name or "共同内容", "description": text})
     events = data.get("timeline") or []
     if isinstance(events, dict):
         events = events.get("key_events") or events.get("events") or []
-    timeline = [{**e, "date": first_of(e, "date", "time")} for e in _items(events, "event", ("event", "content", "summary", "description"))]
+    timeline = [{**e, "date": first_of(e, "date time")} for e in _items(events, "event", "event content summary description")]
     return {
         **data,
-        "executive_summary": first_of(data, "executive_summary", "summary", "overview"),
+        "executive_summary": first_of(data, "executive_summary summary overview"),
         "meeting_summaries": meetings,
         "common_topics": common,
         "timeline": timeline,
@@ -150,7 +151,7 @@ def normalize_multi(data: dict) -> dict:
         "progress_changes": _texts(data.get("progress_changes"), data.get("project_progress")),
         "open_action_items": _items(data.get("open_action_items") or data.get("uncompleted_action_items"), "task", TASK),
         "resolved_items": _texts(data.get("resolved_items"), data.get("resolved_issues")),
-        "new_risks": _items(data.get("new_risks") or data.get("risks"), "description", RISK[:3]),
+        "new_risks": _items(data.get("new_risks") or data.get("risks"), "description", "description risk content"),
         "recommendations": _texts(data.get("recommendations")),
         "formulas": dicts("formulas"),
     }
@@ -262,6 +263,10 @@ def chinese_ordinal(n: int) -> str:
     return ("" if tens == 1 else digits[tens]) + "十" + (digits[ones] if ones else "")
 
 
+def lines(*parts: str) -> str:
+    return "\n".join(parts)
+
+
 def document(title: str, sections: list[tuple[str, object]]) -> str:
     """Title and the sections that have content, numbered one after the other."""
     filled = [(h, str(c).strip()) for h, c in sections if c and str(c).strip()]
@@ -331,15 +336,15 @@ def render_single(data: dict, meta: dict | None = None) -> str:
     return document(
         f"# 会议摘要：{title}",
         [
-            ("会议信息", "\n".join(info)),
+            ("会议信息", lines(*info)),
             ("会议概述", data.get("overview")),
             ("主要议题", _blocks(data.get("topics"), "topic", "summary", "speakers", "发言人", "议题", True)),
             ("关键决策", md_table(_rows(data.get("decisions"), "content owner rationale"), "决策 负责人 依据")),
             ("行动项", md_table(_rows(data.get("action_items"), "task assignee deadline priority status"), "任务 负责人 截止时间 优先级 状态")),
             ("公式与关键技术说明", formulas_md(data.get("formulas"))),
-            ("风险与待确认事项", "\n".join(risks)),
-            ("说话人贡献", "\n".join(voices)),
-            ("来源记录", "\n".join(f"- 记录 ID：{cell(i)}" for i in ids if i)),
+            ("风险与待确认事项", lines(*risks)),
+            ("说话人贡献", lines(*voices)),
+            ("来源记录", lines(*[f"- 记录 ID：{cell(i)}" for i in ids if i])),
         ],
     )
 
@@ -356,18 +361,18 @@ def render_multi(data: dict, meta: dict | None = None) -> str:
     return document(
         f"# 多会议综合摘要：{cell(meta.get('title') or '多会议综合摘要')}",
         [
-            ("报告范围", "\n".join(scope)),
+            ("报告范围", lines(*scope)),
             ("执行摘要", data.get("executive_summary")),
             ("会议概览", md_table([[m.get("date"), m.get("title"), str(m.get("summary") or "")[:200]] for m in meetings if cell(m.get("title")) or cell(m.get("summary"))], "时间 会议 主要内容")),
             ("共同议题", _blocks(data.get("common_topics"), "topic", "description", "mentioned_in", "涉及", "共同议题", False)),
             ("关键决策与变化", md_table(changes, "决策 变化情况 首次会议 最新会议")),
-            ("内容脉络与时间线", "\n".join(progress)),
+            ("内容脉络与时间线", lines(*progress)),
             ("未完成行动项", md_table(_rows(data.get("open_action_items"), "task assignee first_raised latest_status"), "任务 负责人 首次提出 最新状态")),
             ("公式与关键技术说明", formulas_md(data.get("formulas"))),
-            ("已解决事项", "\n".join(_bullets(data.get("resolved_items")))),
-            ("新增风险与待确认问题", "\n".join(_risks(data.get("new_risks"), (("impact", "影响"), ("first_seen", "首次出现"))))),
-            ("综合建议", "\n".join(_bullets(data.get("recommendations")))),
-            ("来源记录", "\n".join(f"- **{cell(m.get('title'))}** ({cell(m.get('record_id'))})" for m in meetings if cell(m.get("record_id")))),
+            ("已解决事项", lines(*_bullets(data.get("resolved_items")))),
+            ("新增风险与待确认问题", lines(*_risks(data.get("new_risks"), (("impact", "影响"), ("first_seen", "首次出现"))))),
+            ("综合建议", lines(*_bullets(data.get("recommendations")))),
+            ("来源记录", lines(*[f"- **{cell(m.get('title'))}** ({cell(m.get('record_id'))})" for m in meetings if cell(m.get("record_id"))])),
         ],
     )
 
