@@ -108,8 +108,8 @@ def valid_profile(display_name: Column, email: Column, phone: Column, avatar: Co
 def summary_eligibility(wanted: DataFrame, records: DataFrame, user: object, is_admin: bool = False, most: int = 20) -> DataFrame:
     """(id, reason): why a wanted record can't be summarised; 'ok' where it can."""
     ids = wanted.select("id").distinct()
-    many = F.count("*").over(Window.partitionBy(F.lit(1)))
-    found = ids.join(records.select("id", "created_by", "status", "full_text", F.lit(True).alias("_found")), "id", "left").withColumn("_n", many)
+    many = F.broadcast(ids.agg(F.count("*").alias("_n")))
+    found = ids.join(records.select("id", "created_by", "status", "full_text", F.lit(True).alias("_found")), "id", "left").crossJoin(many)
     foreign = F.lit(False) if is_admin else F.col("created_by").isNotNull() & (F.col("created_by") != user)
     reason = (
         F.when(F.col("_n") > most, "too many").when(F.col("_found").isNull(), "missing").when(foreign, "forbidden").when(F.col("status") != "completed", "not completed")
@@ -244,6 +244,64 @@ def record_report(segments: DataFrame) -> DataFrame:
     return stats.join(top, "record").join(full_text(segments), "record").select(F.col("record").alias("conv_id"), "n_segments", "duration_ms", "n_speakers", "top_speaker", "full_text")
 
 
+def analysis_counters(segments: DataFrame) -> DataFrame:
+    """Per record: segments, talking time, flags, corrections and weak segments (confidence under 0.6).
+
+    ``segments`` has flags and corrections (arrays) and confidence; talking time is the sum
+    of the segments' lengths, unlike the record's duration, which is its greatest end.
+    """
+    talk = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
+    sizes = lambda c: F.sum(F.greatest(F.size(F.coalesce(c, F.array())), F.lit(0))).alias(f"{c}_count")
+    return segments.groupBy("record").agg(F.count("*").alias("segments_count"), F.sum(talk).alias("talk_ms"), sizes("flags"), sizes("corrections"), F.count_if(F.col("confidence") < 0.6).alias("low_confidence_count"))
+
+
+def file_stats(results: DataFrame) -> DataFrame:
+    """One row over all results: counts, characters, mean scores, results by label, distinct terms."""
+    terms = results.select(F.explode("terms").alias("t")).agg(F.count_distinct("t").alias("distinct_terms"))
+    by_label = [F.count_if(F.col("quality_label") == v).alias(f"{v}_quality") for v in ("high", "medium", "low")]
+    totals = results.agg(F.count("*").alias("results"), F.sum(F.length("text")).alias("chars"), F.avg("confidence").alias("mean_confidence"), F.avg("snr").alias("mean_snr"), *by_label, F.sum(F.size("terms")).alias("terms"))
+    return totals.crossJoin(terms)
+
+
+def analysis_payload(segments: DataFrame) -> DataFrame:
+    """(record, transcript_json, segments_count, duration_ms): segments under the names clients send and expect.
+
+    ``display_text`` comes before ``text``, names before ids; blank values count as missing.
+    """
+    pick = lambda *names: first_text(*[F.col(n).cast("string") for n in names if n in segments.columns])
+    item = F.struct("idx", pick("display_text", "text").alias("text"), pick("speaker_name", "speaker").alias("speaker"), "start_ms", "end_ms")
+    grouped = segments.groupBy("record").agg(F.array_sort(F.collect_list(item)).alias("s"), F.sum(F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))).alias("duration_ms"))
+    return grouped.select("record", F.to_json("s").alias("transcript_json"), F.size("s").cast("bigint").alias("segments_count"), "duration_ms")
+
+
+def record_title(title: Column, filename: Column, default: str = "untitled") -> Column:
+    """Title, else the file's name without its extension, else a default."""
+    return F.coalesce(first_text(title, F.regexp_replace(filename, r"\.[^.]*$", "")), F.lit(default))
+
+
+def format_duration(seconds: Column) -> Column:
+    """``H:MM:SS``, or ``M:SS`` under an hour."""
+    s = F.greatest(F.floor(F.coalesce(seconds, F.lit(0.0))), F.lit(0)).cast("int")
+    hours, minutes, rest = F.floor(s / 3600).cast("int"), (F.floor(s / 60) % 60).cast("int"), s % 60
+    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
+
+
+def result_json(results: DataFrame) -> Column:
+    """Image of a result for clients: times to 3, scores to 1 and 3 places, words nested, audio for final ones only."""
+    held = set(results.columns)
+    fields = [F.round(c, 3).alias(c) for c in ("start_sec", "end_sec", "confidence") if c in held] + [F.round(c, 1).alias(c) for c in ("snr",) if c in held]
+    fields += [F.col(c) for c in ("text", "speaker", "is_final", "words") if c in held]
+    if {"audio", "is_final"} <= held:
+        fields.append(F.when(F.col("is_final"), F.base64("audio")).alias("audio"))
+    return F.to_json(F.struct(*fields))
+
+
+def participant_ids(value: Column) -> Column:
+    """Distinct non-blank ids of a JSON array text; anything else gives none."""
+    ids = F.filter(F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    return F.array_distinct(ids)
+
+
 def jobs_by_class(jobs: DataFrame) -> DataFrame:
     """Queued, running and all jobs."""
     running = ~F.col("status").isin("queued", "completed", "failed", "cancelled")

@@ -13,10 +13,12 @@ from confab.plans.ranges import binned_overlap_join, merge_islands, overlap
 BIN_MS = 60_000
 
 
-def _sides(segments: DataFrame, timeline: DataFrame) -> tuple[DataFrame, DataFrame]:
-    a = segments.select("record", "idx", F.col("start_ms").alias("start_a"), F.col("end_ms").alias("end_a"))
-    b = timeline.select("record", F.col("speaker").alias("who"), F.col("start_ms").alias("start_b"), F.col("end_ms").alias("end_b"), "confidence")
-    return a, b
+def _heard(segments: DataFrame, *more: str) -> DataFrame:
+    return segments.select("record", "idx", *more, F.col("start_ms").alias("start_a"), F.col("end_ms").alias("end_a"))
+
+
+def _turns(timeline: DataFrame) -> DataFrame:
+    return timeline.select("record", F.col("speaker").alias("who"), F.col("start_ms").alias("start_b"), F.col("end_ms").alias("end_b"), "confidence")
 
 
 def align_speakers(segments: DataFrame, timeline: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
@@ -25,8 +27,7 @@ def align_speakers(segments: DataFrame, timeline: DataFrame, bin_ms: int = BIN_M
     Confidence is the winner's mean over its overlap times its share of all overlap, in
     thousandths; segments without any overlap are UNKNOWN with 0.
     """
-    a, b = _sides(segments, timeline)
-    pairs = binned_overlap_join(a, b, ["record"], bin_ms)
+    pairs = binned_overlap_join(_heard(segments), _turns(timeline), ["record"], bin_ms)
     d = overlap(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b"))
     per = pairs.withColumn("d", d).groupBy("record", "idx", "who").agg(F.sum("d").alias("d"), F.sum(F.col("d") * F.col("confidence")).alias("dc"))
     win = Window.partitionBy("record", "idx")
@@ -39,10 +40,8 @@ def align_speakers(segments: DataFrame, timeline: DataFrame, bin_ms: int = BIN_M
 
 def align_words(words: DataFrame, timeline: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
     """(record, idx, word, speaker): speaker of the single longest overlap; words outside keep null."""
-    a = words.select("record", "idx", "word", F.col("start_ms").alias("start_a"), F.col("end_ms").alias("end_a"))
-    _, b = _sides(words.limit(0), timeline)
     d = overlap(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b"))
-    best = binned_overlap_join(a, b, ["record"], bin_ms).groupBy("record", "idx", "word").agg(F.min(F.struct(-d, "who")).getField("who").alias("speaker"))
+    best = binned_overlap_join(_heard(words, "word"), _turns(timeline), ["record"], bin_ms).groupBy("record", "idx", "word").agg(F.min(F.struct(-d, "who")).getField("who").alias("speaker"))
     return words.select("record", "idx", "word").join(best, ["record", "idx", "word"], "left")
 
 

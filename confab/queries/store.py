@@ -324,3 +324,30 @@ def join_by_code(spark, sf):
 def usable_utterances(spark, sf):
     s = V.segments(spark, sf).select("record", "idx", (F.length("text") * 5 + 13).alias("num_frames"), F.floor(F.length("text") / 2).alias("num_tokens"), (F.length("text") / 20).alias("duration"))
     return S.usable_utterances(s).select("record", "idx")
+
+
+@query(f"WITH {V.SEGMENTS} SELECT record, count(*) AS segments_count, CAST(sum(greatest(0, end_ms - start_ms)) AS BIGINT) AS talk_ms, CAST(sum(idx % 3) AS BIGINT) AS flags_count, CAST(sum(CASE WHEN speaker = 'user' THEN 2 ELSE 0 END) AS BIGINT) AS corrections_count, count(*) FILTER ((record % 10) / 10.0 < 0.6) AS low_confidence_count FROM segments GROUP BY record")
+def analysis_counters(spark, sf):
+    s = V.segments(spark, sf)
+    flags = F.array_repeat(F.lit("f"), (F.col("idx") % 3).cast("int"))
+    return S.analysis_counters(s.withColumn("flags", flags).withColumn("corrections", F.when(F.col("speaker") == "user", F.array(F.lit(1), F.lit(2)))).withColumn("confidence", (F.col("record") % 10) / 10))
+
+
+@query(
+    f"""WITH {V.SEGMENTS} SELECT count(*) AS results, CAST(sum(length(text)) AS BIGINT) AS chars, round(avg(record % 7), 6) AS mean_confidence, round(avg(idx), 6) AS mean_snr, count(*) FILTER (idx = 0) AS high_quality, count(*) FILTER (idx = 1) AS medium_quality, count(*) FILTER (idx > 1) AS low_quality,
+CAST(count(*) * 2 AS BIGINT) AS terms, (SELECT count(*) FROM (SELECT speaker FROM segments UNION SELECT CAST(record AS VARCHAR) FROM segments)) AS distinct_terms FROM segments"""
+)
+def file_stats(spark, sf):
+    label = F.when(F.col("idx") == 0, "high").when(F.col("idx") == 1, "medium").otherwise("low")
+    r = V.segments(spark, sf).select("text", (F.col("record") % 7).alias("confidence"), F.col("idx").alias("snr"), label.alias("quality_label"), F.array("speaker", F.col("record").cast("string")).alias("terms"))
+    return S.file_stats(r).withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn("mean_snr", F.round("mean_snr", 6))
+
+
+@query(f"WITH {V.SEGMENTS} SELECT record, count(*) AS segments_count, CAST(sum(end_ms - start_ms) AS BIGINT) AS duration_ms FROM segments GROUP BY record")
+def analysis_payload(spark, sf):
+    return S.analysis_payload(V.segments(spark, sf).withColumn("display_text", F.lit(" "))).drop("transcript_json")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') ELSE CAST(s // 60 AS VARCHAR) END || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS d FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 20) AS BIGINT) AS s FROM orders)")
+def durations(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.format_duration(F.col("o_totalprice") / 20).alias("d"))

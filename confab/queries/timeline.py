@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from confab.operators import meeting as M
 from confab.operators import timeline as T
 from confab.plans import ranges as R
 from confab.plans import views as V
@@ -210,3 +211,10 @@ def snapshot_timeline(spark, sf):
     sofar = both.alias("a").join(both.alias("b"), (F.col("a.record") == F.col("b.record")) & (F.col("b.idx") <= F.col("a.idx")))
     text = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("b.idx", "b.t"))), lambda x: x["t"]))
     return T.snapshot_timeline(sofar.groupBy("a.record", "a.idx", "a.second").agg(text.alias("text")).select("record", "second", "text"))
+
+
+@query(None)
+def meeting_pipeline(spark, sf):
+    segments, turns = V.segments(spark, sf), M.speaker_timeline(V.timeline(spark, sf))
+    heard = lambda record, start, end: F.concat_ws("-", record.cast("string"), start.cast("string"), end.cast("string"))
+    return M.meeting_report(M.attribute(segments, turns, heard))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import wave
@@ -89,6 +90,23 @@ def source_digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def save_json(path: str, value: object) -> None:
+    """Settings file, written beside and moved over the old one."""
+    part = f"{path}.part"
+    with open(part, "w", encoding="utf-8") as f:
+        json.dump(value, f, ensure_ascii=False, indent=2)
+    os.replace(part, path)
+
+
+def load_json(path: str, default: object) -> object:
+    """Settings file; a missing or broken one gives the default."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+    except (OSError, ValueError):
+        return default
+
+
 def ordered_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts a query that hands micro-batches to ``write`` in order; a batch already written is skipped by its id."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
