@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confab.llm.texts import blocks
@@ -191,6 +191,11 @@ def _spans(params: SubstringParams):
     return run
 
 
+def _clean_shuffles(spark: SparkSession) -> None:
+    """Lets the driver notice finished plans, so that their shuffle files go before the next step."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def repeated_spans(docs: DataFrame, params: SubstringParams = SubstringParams()) -> DataFrame:
     """(doc_id, start_word, end_word, longest): the passages of a document that occur again.
 
@@ -201,17 +206,22 @@ def repeated_spans(docs: DataFrame, params: SubstringParams = SubstringParams())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t0"), F.xxhash64(F.lit(1), F.col("text")).alias("t1"), "text").where("doc_id is not null and text is not null")
     first = own.mapInArrow(_first_pass(params), "doc_id long, t0 long, t1 long, words int, at array<int>, h array<long>").where(F.col("words") >= least)
     first = cut_lineage(first, "minima")
-    texts = first.groupBy("t0", "t1").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("words").alias("words"), F.first("at").alias("at"), F.first("h").alias("h"))
+    texts = first.groupBy("t0", "t1").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.first("words").alias("words"))
     texts = cut_lineage(texts.withColumn("tid", F.xxhash64("t0", "t1")), "texts")
-    anchors = texts.select("tid", "rep", "t0", "t1", F.explode(F.arrays_zip("at", "h")).alias("a")).select("tid", "rep", "t0", "t1", "a.at", "a.h")
-    hot = _repeated(anchors.select("tid", "at", "h")).groupBy("tid").agg(F.collect_list("at").alias("places"))
-    hot = hot.join(texts.select("tid", "rep", "t0", "t1"), "tid")
-    text_rows = own.join(hot.withColumnRenamed("rep", "doc_id"), ["doc_id", "t0", "t1"]).dropDuplicates(["doc_id", "t0", "t1"])
-    windows = text_rows.select("tid", "text", "places").mapInArrow(_second_pass(params), "tid long, at int, h long")
-    length, levels, previous = least, [], None
+    places = first.select(F.xxhash64("t0", "t1").alias("tid"), F.explode(F.arrays_zip("at", "h")).alias("a")).select("tid", "a.at", "a.h")
+    same, place = Window.partitionBy("h"), F.struct("tid", "at")  # copies of a text share its places
+    hot = places.withColumn("apart", F.min(place).over(same) != F.max(place).over(same)).where("apart").groupBy("tid").agg(F.collect_set("at").alias("places"))
+    hot = cut_lineage(hot.join(texts.select("tid", F.col("rep").alias("doc_id"), "t0", "t1"), "tid"), "hot")
+    _clean_shuffles(spark)
+    text_rows = own.join(hot, ["doc_id", "t0", "t1"]).dropDuplicates(["doc_id", "t0", "t1"])
+    windows = candidates = cut_lineage(text_rows.select("tid", "text", "places").mapInArrow(_second_pass(params), "tid long, at int, h long"), "candidates")
+    _clean_shuffles(spark)
+    length, levels = least, []
     while True:
         now = cut_lineage(_by_text(_repeated(windows)), "windows")
-        spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files of the level before
+        _clean_shuffles(spark)
+        if length == least:
+            release(spark, candidates)
         if now.isEmpty():
             release(spark, now)
             break
