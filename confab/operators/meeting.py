@@ -39,6 +39,7 @@ def attribute(segments: DataFrame, turns: DataFrame | None, decode: Callable[[Co
     unless that would lose text. Texts repeated at boundaries are cut last.
     """
     base = segments.select("record", "idx", "start_ms", "end_ms", "text")
+    turns = None if turns is None else cut_lineage(turns, "turns")  # read by several joins
     if turns is None:
         said = base.withColumns({"clip": F.lit(0).cast("bigint"), "speaker": F.lit("UNKNOWN"), "confidence": F.lit(0).cast("bigint")})
     else:
@@ -55,4 +56,4 @@ def attribute(segments: DataFrame, turns: DataFrame | None, decode: Callable[[Co
 
 def meeting_report(said: DataFrame) -> DataFrame:
     """Transcript, duration and speakers of each record."""
-    return S.record_report(said.withColumn("idx", F.col("idx") * CLIPS + F.col("clip")))
+    return S.record_report(cut_lineage(said, "said").withColumn("idx", F.col("idx") * CLIPS + F.col("clip")))
