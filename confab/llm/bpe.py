@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from confab.llm.texts import blocks
+from confab.llm.texts import blocks, small_batches
 from confab.sources.tables import table
 
 PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:
                 columns = [batch.column(0).slice(a, b - a), _arrow_lists(ids, pa.int32()), counts, pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "lossless"])
 
-    return docs.select("doc_id", "text").mapInArrow(encoded, kind)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(encoded, kind)
 
 
 def decode(encoded: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:

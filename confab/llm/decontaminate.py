@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from confab.llm.texts import blocks
+from confab.llm.texts import blocks, small_batches
 from confab.sources.tables import table
 
 WORD = re.compile(r"\w+")
@@ -217,7 +217,7 @@ def passes(docs: DataFrame, benchmark: DataFrame, params: AlignParams = AlignPar
         items = Items([(r[0], r[1]) for r in rows], params)
         if not items.ids:
             continue
-        counts = docs.select("text").mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = small_batches(docs).select("text").mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         df = {r["gram"]: r["n"] for r in counts.collect()}  # the slice's n-grams at most
         items.choose_seeds(df, df.pop(-1, 0))
         yield items

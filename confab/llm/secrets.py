@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from confab.llm.texts import blocks, bounded_sample
+from confab.llm.texts import blocks, bounded_sample, small_batches
 from confab.sources.tables import table
 
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -445,13 +445,13 @@ def redact_column(model: SecretModel, text: str = "text") -> Column:
 
 def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
     """(doc_id, start, end): one row a secret."""
-    found = docs.select("doc_id", F.explode(span_column(model)).alias("span"))
+    found = small_batches(docs).select("doc_id", F.explode(span_column(model)).alias("span"))
     return found.select("doc_id", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 
 def mask_secrets(docs: DataFrame, model: SecretModel) -> DataFrame:
     """The documents with secrets masked in ``text``; ``n_chars`` follows where there is one."""
-    masked = docs.withColumn("text", redact_column(model))
+    masked = small_batches(docs).withColumn("text", redact_column(model))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return masked.select(docs.columns)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from confab.llm.texts import small_batches
 from confab.plans.components import connected_components
 from confab.plans.lineage import cut_lineage
 from confab.sources.tables import table
@@ -171,7 +172,7 @@ def near_edges(prints: DataFrame, params: SimHashParams = SimHashParams()) -> Da
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     """(doc_id, duplicate_of): every document that is not the least of its group, with the one that is."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text").alias("h"))
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text").alias("h"))
     prints = own.where("doc_id is not null and h.h0 is not null").select("doc_id", "h.h0", "h.h1").distinct()
     same = Window.partitionBy("h0", "h1")
     prints = cut_lineage(prints.withColumn("node", F.min("doc_id").over(same)), "prints")

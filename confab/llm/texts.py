@@ -21,6 +21,21 @@ def blocks(texts: list[str | None], max_chars: int = 1 << 20) -> Iterator[tuple[
         yield start, len(texts)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to ``rows`` rows unless it has set a size itself.
+
+    Texts are long: at Spark's default of 10,000 rows a batch, a Python worker holds tens
+    of megabytes twice over. Only a session that still has the default is changed.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, str(rows))
+    return df
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows, twice as many at most: those whose key hashes below a cut.
 
