@@ -41,7 +41,7 @@ def first_text(*columns: Column) -> Column:
 
 def number_or(column: Column, default: float) -> Column:
     """Tolerant cast of anything to double."""
-    return F.coalesce(F.try_to_number(column, F.lit("999999999999D999999")).cast("double"), column.try_cast("double"), F.lit(float(default)))
+    return F.coalesce(column.cast("string").try_cast("double"), F.lit(float(default)))
 
 
 # Filters

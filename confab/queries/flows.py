@@ -40,7 +40,17 @@ def live_metrics(spark, sf):
     return L.live_metrics(_live(spark, sf))
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {V.FRAMES}, f AS (SELECT stream, seq, rms / 1000 >= 0.03 AS v FROM frames),
+r AS (SELECT DISTINCT stream, CAST(0 AS BIGINT) AS seq, false AS a, 0 AS sp, 0 AS si, false AS started, false AS ended FROM f
+UNION ALL SELECT f.stream, f.seq,
+  CASE WHEN r.a THEN NOT (NOT f.v AND r.si + 640 >= 1280) ELSE f.v AND r.sp + 640 >= 1280 END,
+  CASE WHEN r.a THEN CASE WHEN NOT f.v AND r.si + 640 >= 1280 THEN 0 ELSE r.sp END WHEN f.v THEN r.sp + 640 ELSE 0 END,
+  CASE WHEN r.a AND NOT f.v AND r.si + 640 < 1280 THEN r.si + 640 ELSE 0 END,
+  NOT r.a AND f.v AND r.sp + 640 >= 1280, r.a AND NOT f.v AND r.si + 640 >= 1280
+  FROM r JOIN f ON f.stream = r.stream AND f.seq = r.seq + 1)
+SELECT CAST(stream AS VARCHAR) AS stream, seq, a AS speaking, started, ended FROM r WHERE seq > 0"""
+)
 def energy_vad(spark, sf):
     return L.energy_vad(_live(spark, sf), M.VadParams(threshold=0.03, min_speech=1280, min_silence=1280))
 

@@ -203,7 +203,12 @@ def mine_hotwords(spark, sf):
     return top.select("word", "count", F.round(F.col("count") * F.least(4 / F.col("df"), F.lit(10.0)), 1).alias("score")).orderBy(F.desc("score"), "word").limit(200)
 
 
-@query(None)
+@query(
+    """WITH k AS (SELECT source AS meeting, regexp_replace(text, '[^a-zA-Z0-9]', '', 'g') AS t FROM documents),
+w AS (SELECT meeting, lower(unnest(regexp_extract_all(t, '[a-zA-Z]{2,}') || regexp_extract_all(t, '[a-zA-Z0-9]{2,}'))) AS word FROM k),
+c AS (SELECT word, count(*) AS n, count(DISTINCT meeting) AS df FROM w GROUP BY word), t AS (SELECT * FROM c ORDER BY n DESC, word LIMIT 5000)
+SELECT word, n AS count, round(n * least((SELECT count(DISTINCT source) FROM documents)::DOUBLE / df, 10.0), 1) AS score FROM t WHERE n BETWEEN 3 AND 200 ORDER BY score DESC, word LIMIT 200"""
+)
 def mine_terms(spark, sf):
     return E.mine_hotwords(table(spark, sf, "documents").select(F.col("source").alias("meeting"), "text"))
 

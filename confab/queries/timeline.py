@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from confab.operators import meeting as M
@@ -172,12 +173,31 @@ def _spread(spark, sf):
     return s.select("record", (F.col("start_ms") * 20 + F.col("idx") * 15000).alias("start_ms"), (F.col("end_ms") * 20 + F.col("idx") * 15000).alias("end_ms"), F.lit(100_000_000).cast("bigint").alias("duration_ms"))
 
 
-@query(None)
+def _cut(at: str) -> str:
+    near = f"list_filter(sil, lambda x: x > {at} + 500 AND x <= {at} + 480000 AND abs(x - ({at} + 300000)) <= 60000)"
+    best = f"list_sort(list_transform({near}, lambda x: {{'d': abs(x - ({at} + 300000)), 'x': x}}))[1].x"
+    return f"CASE WHEN z - {at} > 480000 THEN coalesce({best}, {at} + 300000) ELSE z END"
+
+
+CHUNKS = V.SEGMENTS + f""",
+regions AS (SELECT record, start_ms * 20 + idx * 15000 AS s, end_ms * 20 + idx * 15000 AS e FROM segments WHERE end_ms > start_ms),
+gaps AS (SELECT *, lag(e) OVER (PARTITION BY record ORDER BY s, e) AS p FROM regions),
+numbered AS (SELECT *, sum(CASE WHEN s - p >= 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY record ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM gaps),
+spans AS (SELECT record, island, min(s)::DOUBLE AS a, arg_max(e, (s, e))::DOUBLE AS z, coalesce(list((p + s) / 2.0 ORDER BY s) FILTER (s > p AND s - p < 20000), []) AS sil FROM numbered GROUP BY record, island),
+cuts AS (SELECT record, island, a AS cur, z, sil, {_cut("a")} AS nxt FROM spans UNION ALL SELECT record, island, nxt AS cur, z, sil, {_cut("nxt")} AS nxt FROM cuts WHERE nxt < z),
+chunks AS (SELECT record, row_number() OVER (PARTITION BY record ORDER BY island, cur) - 1 AS chunk, CAST(floor(cur) AS BIGINT) AS core_start_ms, CAST(floor(nxt) AS BIGINT) AS core_end_ms,
+  CAST(greatest(0, floor(cur) - 2000) AS BIGINT) AS audio_start_ms, CAST(least(100000000, floor(nxt) + 2000) AS BIGINT) AS audio_end_ms FROM cuts)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunks")
 def chunk_plan(spark, sf):
     return T.plan_chunks(_spread(spark, sf))
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {CHUNKS}, t AS (SELECT record, count(*) AS chunks, CAST(sum(audio_end_ms - audio_start_ms) AS BIGINT) AS processed_ms, CAST(sum(core_end_ms - core_start_ms) AS BIGINT) AS core FROM chunks GROUP BY record)
+SELECT r.record, coalesce(chunks, 0) AS chunks, coalesce(processed_ms, 0) AS processed_ms, greatest(0, 100000000 - coalesce(core, 0)) AS skipped_ms FROM (SELECT DISTINCT record FROM segments) r LEFT JOIN t ON t.record = r.record"""
+)
 def chunk_statistics(spark, sf):
     regions = _spread(spark, sf)
     return T.chunk_statistics(T.plan_chunks(regions), regions.select("record", "duration_ms").distinct())
@@ -199,9 +219,21 @@ def pack_chunks(spark, sf):
     return T.pack_segments(V.segments(spark, sf), 3000)
 
 
-@query(None)
+ECHOED = V.SEGMENTS + """,
+echoed AS (SELECT record, idx, row_number() OVER (PARTITION BY record ORDER BY idx) AS k, CASE WHEN idx % 2 = 1 THEN right(lag(text) OVER (PARTITION BY record ORDER BY idx), 12) || text ELSE text END AS text FROM segments)"""
+
+
+@query(
+    f"""WITH RECURSIVE {ECHOED},
+r AS (SELECT record, idx, k, text FROM echoed WHERE k = 1
+UNION ALL SELECT e.record, e.idx, e.k, CASE WHEN n IS NULL THEN e.text ELSE ltrim(e.text[n + 1 :], ' ' || chr(10)) END
+  FROM (SELECT e.*, list_max(list_filter(range(3, CAST(least(40, length(r.text), length(e.text)) AS BIGINT) + 1), lambda x: right(r.text, x) = left(e.text, x))) AS n FROM r JOIN echoed e ON e.record = r.record AND e.k = r.k + 1) e)
+SELECT record, idx, text FROM r"""
+)
 def deduplicate_adjacent(spark, sf):
-    return T.deduplicate_adjacent(V.segments(spark, sf))
+    before = F.right(F.lag("text").over(Window.partitionBy("record").orderBy("idx")), F.lit(12))
+    s = V.segments(spark, sf).withColumn("text", F.when(F.col("idx") % 2 == 1, F.concat(before, F.col("text"))).otherwise(F.col("text")))
+    return T.deduplicate_adjacent(s)
 
 
 @query(None)
