@@ -31,7 +31,6 @@ def shared_dir(spark: SparkSession) -> str:
         return own.get()
     path = "file://" + tempfile.mkdtemp(prefix="confab-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
-    spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
