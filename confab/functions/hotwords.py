@@ -81,7 +81,7 @@ class HotwordRewriter:
                 return word
 
             text = pattern.sub(one, text)
-        if not self.spoken:
+        if not self.spoken or self.readings.keys().isdisjoint(text):
             return text, edits
         heard = [self.readings.get(c, frozenset()) for c in text]
         out, at = [], 0

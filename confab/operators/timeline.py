@@ -173,10 +173,10 @@ def plan_chunks(regions: DataFrame, params: ChunkParams = ChunkParams()) -> Data
     inside = regions.withColumn("start_ms", F.greatest(F.lit(0), F.col("start_ms"))).withColumn("end_ms", F.least("end_ms", "duration_ms")).where("end_ms > start_ms")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, span in pdf.sort_values(["island", "start_ms", "end_ms"]).groupby("island"):
-            items = list(zip(span["start_ms"].tolist(), span["end_ms"].tolist()))
-            rows += split_span(items[0][0], items[-1][1], items, p)
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for island, start, end in sorted(zip(pdf["island"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist())):
+            spans.setdefault(island, []).append((start, end))
+        rows = [cut for items in spans.values() for cut in split_span(items[0][0], items[-1][1], items, p)]
         total = int(pdf["duration_ms"].iloc[0])
         return pd.DataFrame([(pdf["record"].iloc[0], k, int(a), int(b), max(0, int(a) - p.overlap), min(total, int(b) + p.overlap)) for k, (a, b) in enumerate(rows)], columns=["record", "chunk", "core_start_ms", "core_end_ms", "audio_start_ms", "audio_end_ms"])
 

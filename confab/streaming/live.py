@@ -18,15 +18,21 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def _vad_rows(state: M.VadState, pdf: pd.DataFrame, p: M.VadParams) -> list[tuple]:
-    return [(r.stream, r.seq, *M.vad_step(state, r.rms, int(r.samples), p)) for r in pdf.itertuples(index=False)]
+    columns = zip(pdf["stream"].tolist(), pdf["seq"].tolist(), pdf["rms"].tolist(), pdf["samples"].tolist())
+    return [(stream, seq, *M.vad_step(state, rms, int(samples), p)) for stream, seq, rms, samples in columns]
+
+
+def _number(x: float | None) -> float:
+    return float(x) if x is not None and x == x else 0.0
 
 
 def _session_rows(state: M.SessionState, pdf: pd.DataFrame, p: M.SessionParams) -> list[tuple]:
     out = []
-    for r in pdf.itertuples(index=False):
-        text = r.text if isinstance(r.text, str) else None
-        for event, heard in M.session_step(state, None if pd.isna(r.seq) else int(r.seq), int(r.us), float(r.rms or 0), int(r.samples or 0), text, bool(r.end), p):
-            out.append((r.stream, r.seq, r.us, event, heard))
+    for stream, seq, us, rms, samples, text, end in zip(*(pdf[c].tolist() for c in ("stream", "seq", "us", "rms", "samples", "text", "end"))):
+        known = seq is not None and seq == seq
+        heard = text if isinstance(text, str) else None
+        for event, said in M.session_step(state, int(seq) if known else None, int(us), _number(rms), int(_number(samples)), heard, bool(end), p):
+            out.append((stream, seq, us, event, said))
     return out
 
 
