@@ -52,14 +52,11 @@ class QualityModel:
     held_out_accuracy: float | None = None
 
 
-def statistics(text: str = "text") -> dict[str, Column]:
-    """Statistics of a text by name, null-safe and without division by zero."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1))
+def statistics() -> dict[str, Column]:
+    """Statistics by name, of the columns that :func:`with_statistics` lays down; no division by zero."""
+    t, words, lines = F.col("_t"), F.col("_words"), F.col("_lines")
+    n, n_words, n_lines = F.greatest(F.length(t), F.lit(1)), F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
     without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: x != "")
-    n_words, n_lines = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
     return {
         "chars": F.length(t).cast("double"),
         "words": F.size(words).cast("double"),
@@ -78,7 +75,10 @@ def statistics(text: str = "text") -> dict[str, Column]:
 
 
 def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    return df.select(*keep, *[c.alias(f"stat_{name}") for name, c in statistics(text).items()])
+    """``stat_`` columns of a text; it is split once, in a projection of its own."""
+    held = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    split = held.select("*", F.array_remove(F.split("_t", r"\s+"), "").alias("_words"), F.array_remove(F.split("_t", "\n"), "").alias("_lines"))
+    return split.select(*keep, *[c.alias(f"stat_{name}") for name, c in statistics().items()])
 
 
 def grow(x: np.ndarray, residual: np.ndarray, cuts: list[np.ndarray], depth: int, rows: np.ndarray, path: tuple) -> list[tuple[tuple, float]]:
