@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from confab.plans.folds import ordered_fold
 from confab.plans.ranges import binned_overlap_join, merge_islands, overlap
 
 BIN_MS = 60_000
@@ -172,19 +172,18 @@ def plan_chunks(regions: DataFrame, params: ChunkParams = ChunkParams()) -> Data
     p = params.checked()
     inside = regions.withColumn("start_ms", F.greatest(F.lit(0), F.col("start_ms"))).withColumn("end_ms", F.least("end_ms", "duration_ms")).where("end_ms > start_ms")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[tuple]) -> list[tuple]:
         spans: dict[int, list[tuple[int, int]]] = {}
-        for island, start, end in sorted(zip(pdf["island"].tolist(), pdf["start_ms"].tolist(), pdf["end_ms"].tolist())):
+        for island, start, end, _ in rows:
             spans.setdefault(island, []).append((start, end))
-        rows = [cut for items in spans.values() for cut in split_span(items[0][0], items[-1][1], items, p)]
-        total = int(pdf["duration_ms"].iloc[0])
-        return pd.DataFrame([(pdf["record"].iloc[0], k, int(a), int(b), max(0, int(a) - p.overlap), min(total, int(b) + p.overlap)) for k, (a, b) in enumerate(rows)], columns=["record", "chunk", "core_start_ms", "core_end_ms", "audio_start_ms", "audio_end_ms"])
+        cuts = [cut for items in spans.values() for cut in split_span(items[0][0], items[-1][1], items, p)]
+        total = rows[0][3]
+        return [(k, int(a), int(b), max(0, int(a) - p.overlap), min(total, int(b) + p.overlap)) for k, (a, b) in enumerate(cuts)]
 
     order = Window.partitionBy("record").orderBy("start_ms", "end_ms")
     gap = F.col("start_ms") - F.lag("end_ms").over(order)
     numbered = inside.withColumn("_n", F.when(gap >= p.skip_silence, 1).otherwise(0)).withColumn("island", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kind = f"record {regions.schema['record'].dataType.simpleString()}, chunk long, core_start_ms long, core_end_ms long, audio_start_ms long, audio_end_ms long"
-    return numbered.select("record", "start_ms", "end_ms", "duration_ms", "island").groupBy("record").applyInPandas(fold, kind)
+    return ordered_fold(numbered, "record", ["island", "start_ms", "end_ms"], ["island", "start_ms", "end_ms", "duration_ms"], fold, "chunk long, core_start_ms long, core_end_ms long, audio_start_ms long, audio_end_ms long")
 
 
 def chunk_statistics(chunks: DataFrame, durations: DataFrame) -> DataFrame:
@@ -213,12 +212,10 @@ def smooth(turns: list[tuple], gap: int) -> list[list]:
 def smooth_timeline(timeline: DataFrame, gap: int = 500) -> DataFrame:
     """Fold of :func:`smooth` a record; the outcome of each turn depends on those before."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = smooth(list(zip(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), pdf["speaker"].tolist(), pdf["confidence"].tolist())), gap)
-        return pd.DataFrame([(pdf["record"].iloc[0], k, r[2], r[0], r[1], r[3]) for k, r in enumerate(rows)], columns=["record", "turn", "speaker", "start_ms", "end_ms", "confidence"])
+    def fold(rows: list[tuple]) -> list[tuple]:
+        return [(k, who, start, end, sure) for k, (start, end, who, sure) in enumerate(smooth(rows, gap))]
 
-    kind = f"record {timeline.schema['record'].dataType.simpleString()}, turn long, speaker string, start_ms long, end_ms long, confidence long"
-    return timeline.select("record", "speaker", "start_ms", "end_ms", "confidence").groupBy("record").applyInPandas(fold, kind)
+    return ordered_fold(timeline, "record", ["start_ms", "end_ms", "speaker"], ["start_ms", "end_ms", "speaker", "confidence"], fold, "turn long, speaker string, start_ms long, end_ms long, confidence long")
 
 
 def pack(lengths: list[int], limit: int) -> list[int]:
@@ -260,16 +257,14 @@ def boundary_cut(previous: str | None, current: str | None) -> str:
 def deduplicate_adjacent(segments: DataFrame) -> DataFrame:
     """(record, idx, text): boundary duplicates cut; each cut sees the text before as already cut."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", ignore_index=True)
+    def fold(rows: list[tuple]) -> list[tuple]:
         out, last = [], None
-        for text in pdf["text"]:
+        for idx, text in rows:
             last = boundary_cut(last, text) if last is not None else text or ""
-            out.append(last)
-        return pdf.assign(text=out)
+            out.append((idx, last))
+        return out
 
-    chosen = segments.select("record", "idx", "text")
-    return chosen.groupBy("record").applyInPandas(fold, chosen.schema)
+    return ordered_fold(segments, "record", ["idx"], ["idx", "text"], fold, f"idx {segments.schema['idx'].dataType.simpleString()}, text string")
 
 
 PUNCTUATION = "，。！？、；：,.!?;:"
@@ -325,12 +320,10 @@ def assemble_snapshots(rows: list[tuple[float, str]], gap: float = 5.0) -> list[
 def snapshot_timeline(snapshots: DataFrame) -> DataFrame:
     """(record, piece, start_sec, end_sec, text) from (record, second, text) snapshots, a group a record."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = assemble_snapshots(list(zip(pdf["second"].tolist(), pdf["text"].fillna("").tolist())))
-        return pd.DataFrame([(pdf["record"].iloc[0], k, *r) for k, r in enumerate(rows)], columns=["record", "piece", "start_sec", "end_sec", "text"])
+    def fold(rows: list[tuple]) -> list[tuple]:
+        return [(k, *piece) for k, piece in enumerate(assemble_snapshots([(second, text or "") for second, text in rows]))]
 
-    kind = f"record {snapshots.schema['record'].dataType.simpleString()}, piece long, start_sec double, end_sec double, text string"
-    return snapshots.select("record", "second", "text").groupBy("record").applyInPandas(fold, kind)
+    return ordered_fold(snapshots, "record", ["second"], ["second", "text"], fold, "piece long, start_sec double, end_sec double, text string")
 
 
 def retains_text(base, candidate, share: float = 0.7):

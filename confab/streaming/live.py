@@ -3,57 +3,52 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from confab.plans.folds import ordered_fold
 from confab.streaming import machines as M
 
-EVENTS = "stream string, seq long, us long, event string, text string"
-VAD_ROWS = "stream string, seq long, speaking boolean, started boolean, ended boolean"
+EVENTS = "seq long, us long, event string, text string"
+VAD_ROWS = "seq long, speaking boolean, started boolean, ended boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _vad_rows(state: M.VadState, pdf: pd.DataFrame, p: M.VadParams) -> list[tuple]:
-    columns = zip(pdf["stream"].tolist(), pdf["seq"].tolist(), pdf["rms"].tolist(), pdf["samples"].tolist())
-    return [(stream, seq, *M.vad_step(state, rms, int(samples), p)) for stream, seq, rms, samples in columns]
+VAD_FIELDS = ["seq", "rms", "samples"]
+SESSION_FIELDS = ["seq", "us", "rms", "samples", "text", "end"]
 
 
 def _number(x: float | None) -> float:
     return float(x) if x is not None and x == x else 0.0
 
 
-def _session_rows(state: M.SessionState, pdf: pd.DataFrame, p: M.SessionParams) -> list[tuple]:
+def _vad_rows(state: M.VadState, rows: Iterable[tuple], p: M.VadParams) -> list[tuple]:
+    return [(seq, *M.vad_step(state, rms, int(samples), p)) for seq, rms, samples in rows]
+
+
+def _session_rows(state: M.SessionState, rows: Iterable[tuple], p: M.SessionParams) -> list[tuple]:
     out = []
-    for stream, seq, us, rms, samples, text, end in zip(*(pdf[c].tolist() for c in ("stream", "seq", "us", "rms", "samples", "text", "end"))):
+    for seq, us, rms, samples, text, end in rows:
         known = seq is not None and seq == seq
         heard = text if isinstance(text, str) else None
         for event, said in M.session_step(state, int(seq) if known else None, int(us), _number(rms), int(_number(samples)), heard, bool(end), p):
-            out.append((stream, seq, us, event, said))
+            out.append((seq, us, event, said))
     return out
 
 
 def energy_vad(frames: DataFrame, params: M.VadParams = M.VadParams()) -> DataFrame:
     """Batch form over (stream, seq, rms, samples): a fold a stream in order of sequence."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_vad_rows(M.VadState(), pdf.sort_values("seq"), params), columns=["stream", "seq", "speaking", "started", "ended"])
-
-    return frames.select(F.col("stream").cast("string").alias("stream"), "seq", "rms", "samples").groupBy("stream").applyInPandas(fold, VAD_ROWS)
+    rows = frames.select(F.col("stream").cast("string").alias("stream"), *VAD_FIELDS)
+    return ordered_fold(rows, "stream", ["seq"], VAD_FIELDS, lambda group: _vad_rows(M.VadState(), group, params), VAD_ROWS)
 
 
 def live_sessions(frames: DataFrame, params: M.SessionParams = M.SessionParams()) -> DataFrame:
     """Batch form over (stream, seq, us, rms, samples, text, end): events in order of arrival."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_session_rows(M.SessionState(), pdf.sort_values(["us", "seq"]), params), columns=["stream", "seq", "us", "event", "text"])
-
-    return _session_columns(frames).groupBy("stream").applyInPandas(fold, EVENTS)
-
-
+    return ordered_fold(_session_columns(frames), "stream", ["us", "seq"], SESSION_FIELDS, lambda group: _session_rows(M.SessionState(), group, params), EVENTS)
 
 
 def _session_columns(frames: DataFrame) -> DataFrame:
@@ -63,8 +58,8 @@ def _session_columns(frames: DataFrame) -> DataFrame:
 class _Machine(StatefulProcessor):
     """Keeps a machine's state as JSON a key; rows of a batch are taken in order of arrival time."""
 
-    def __init__(self, fresh: Callable[[], object], load: Callable[[dict], object], rows: Callable, columns: list[str], ttl_ms: int | None):
-        self.fresh, self.load, self.rows, self.columns, self.ttl_ms = fresh, load, rows, columns, ttl_ms
+    def __init__(self, fresh: Callable[[], object], load: Callable[[dict], object], rows: Callable, fields: list[str], columns: list[str], ttl_ms: int | None):
+        self.fresh, self.load, self.rows, self.fields, self.columns, self.ttl_ms = fresh, load, rows, fields, columns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "json string", self.ttl_ms) if self.ttl_ms else handle.getValueState("state", "json string")
@@ -74,9 +69,9 @@ class _Machine(StatefulProcessor):
         machine = self.load(json.loads(held[0])) if held else self.fresh()
         pdf = pd.concat(list(rows), ignore_index=True)
         pdf = pdf.sort_values([c for c in ("us", "seq") if c in pdf.columns], ignore_index=True)
-        out = self.rows(machine, pdf)
+        out = self.rows(machine, zip(*[pdf[f].tolist() for f in self.fields]))
         self.state.update((json.dumps(M.to_dict(machine)),))
-        yield pd.DataFrame(out, columns=self.columns)
+        yield pd.DataFrame([(key[0], *row) for row in out], columns=["stream", *self.columns])
 
     def close(self) -> None:
         pass
@@ -84,15 +79,15 @@ class _Machine(StatefulProcessor):
 
 def stream_energy_vad(frames: DataFrame, params: M.VadParams = M.VadParams()) -> DataFrame:
     """Streaming form of :func:`energy_vad`; the state of a stream is three numbers."""
-    machine = _Machine(M.VadState, M.vad_from, lambda s, pdf: _vad_rows(s, pdf, params), ["stream", "seq", "speaking", "started", "ended"], None)
+    machine = _Machine(M.VadState, M.vad_from, lambda s, rows: _vad_rows(s, rows, params), VAD_FIELDS, ["seq", "speaking", "started", "ended"], None)
     rows = frames.select(F.col("stream").cast("string").alias("stream"), "seq", "rms", "samples")
-    return rows.groupBy("stream").transformWithStateInPandas(machine, VAD_ROWS, "append", "none")
+    return rows.groupBy("stream").transformWithStateInPandas(machine, "stream string, " + VAD_ROWS, "append", "none")
 
 
 def stream_sessions(frames: DataFrame, params: M.SessionParams = M.SessionParams(), ttl_ms: int | None = None) -> DataFrame:
     """Streaming form of :func:`live_sessions`; with a time to live, idle streams are forgotten."""
-    machine = _Machine(M.SessionState, M.session_from, lambda s, pdf: _session_rows(s, pdf, params), ["stream", "seq", "us", "event", "text"], ttl_ms)
-    return _session_columns(frames).groupBy("stream").transformWithStateInPandas(machine, EVENTS, "append", "processingTime" if ttl_ms else "none")
+    machine = _Machine(M.SessionState, M.session_from, lambda s, rows: _session_rows(s, rows, params), SESSION_FIELDS, ["seq", "us", "event", "text"], ttl_ms)
+    return _session_columns(frames).groupBy("stream").transformWithStateInPandas(machine, "stream string, " + EVENTS, "append", "processingTime" if ttl_ms else "none")
 
 
 def live_metrics(frames: DataFrame) -> DataFrame:
@@ -135,17 +130,15 @@ def canonical_text(results: DataFrame) -> DataFrame:
 def legal_transitions(events: DataFrame) -> DataFrame:
     """Controller events (client, us, event, token) with ``taken``; stale tokens and illegal steps are not."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, taken = pdf.sort_values("us", ignore_index=True), ("idle", -1), []
-        for event, token in zip(pdf["event"], pdf["token"]):
-            state, ok = M.microphone_step(state, event, int(token))
-            taken.append(ok)
-        return pdf.assign(taken=taken)
-
-    from pyspark.sql import types as T
+    def fold(rows: list[tuple]) -> list[tuple]:
+        state, out = ("idle", -1), []
+        for us, event, token in rows:
+            state, taken = M.microphone_step(state, event, int(token))
+            out.append((us, event, token, taken))
+        return out
 
-    chosen = events.select("client", "us", "event", "token")
-    return chosen.groupBy("client").applyInPandas(fold, T.StructType([*chosen.schema.fields, T.StructField("taken", T.BooleanType())]))
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("us", "event", "token")}
+    return ordered_fold(events, "client", ["us", "event", "token"], ["us", "event", "token"], fold, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", taken boolean")
 
 
 def coalesced_reloads(requests: DataFrame, busy_us: int) -> DataFrame:

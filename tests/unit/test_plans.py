@@ -87,3 +87,16 @@ def test_the_folder_is_the_sessions_own_where_it_has_one():
     assert shared_dir(_Session(None, "file:/ck")) == "file:/ck"
     fresh = _Session(None, None)
     assert shared_dir(fresh).startswith("file:///") and shared_dir(fresh) == fresh.made
+
+
+def test_ordered_fold(spark):
+    from confab.plans.folds import ordered_fold
+
+    rows = [(1, 3, "c"), (1, None, "n"), (2, 0, None), (1, 1, "a"), (None, 5, "x"), (1, 1, "b")]
+    frame = spark.createDataFrame([(*r, 9) for r in rows], "k int, o int, t string, other int")
+    fold = lambda group: [(len(group), "".join(t or "-" for _, t in group))]
+    found = ordered_fold(frame, "k", ["o"], ["o", "t"], fold, "n int, s string")
+    assert found.columns == ["k", "n", "s"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 4, "nabc"), (2, 1, "-"), (None, 1, "x")], key=str)
+    assert ordered_fold(frame.limit(0), "k", ["o"], ["o", "t"], fold, "n int, s string").count() == 0
+    assert ordered_fold(frame, "k", ["o"], ["o", "t"], lambda g: [], "n int, s string").count() == 0
