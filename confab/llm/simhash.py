@@ -41,12 +41,13 @@ from confab.sources.tables import table
 
 WORD = re.compile(r"\w+")
 BITS = 128
+STRIP = 64  # rows of a tile compared at once
 
 
 @dataclass(frozen=True)
 class SimHashParams:
     radius: int = 20  # of 128 bits
-    tile: int = 1024  # fingerprints a tile
+    tile: int = 4096  # fingerprints a tile, compared in strips of rows that fit a core's cache
     block: int = 250_000  # most fingerprints a block
     min_blocks: int = 8  # so that small inputs still spread over the cores
 
@@ -98,13 +99,13 @@ def forest(h: np.ndarray, side: np.ndarray, radius: int, tile: int) -> np.ndarra
     labels = np.arange(len(h))
     one = order[side[order] == 0]
     two = order[side[order] == 1] if side.any() else None
-    out = np.empty((tile, tile), np.uint64)
-    count = np.empty((tile, tile), np.uint8)
+    out = np.empty((min(STRIP, tile), tile), np.uint64)
+    count = np.empty(out.shape, np.uint8)
     other = one if two is None else two
-    for a in range(0, len(one), tile):
-        rows = one[a : a + tile]
+    for a in range(0, len(one), len(out)):
+        rows = one[a : a + len(out)]
         left, lo, hi = h[rows], pops[rows[0]], pops[rows[-1]]
-        for b in range(a if two is None else 0, len(other), tile):
+        for b in range(a // tile * tile if two is None else 0, len(other), tile):
             cols = other[b : b + tile]
             if pops[cols[0]] - hi > radius or lo - pops[cols[-1]] > radius:
                 continue
