@@ -4,7 +4,8 @@ A small sandboxed template language is lexed and parsed into a syntax tree, cons
 are folded, and the tree becomes Python closures that render a conversation and note
 which characters lie between generation markers. A template sees only the values it is
 given: names, members of mappings and items of lists are looked up in data alone, never
-as Python attributes, and steps and output are limited.
+as Python attributes. Steps, output and ranges are limited against runaway templates; the
+limits grow with a conversation's messages and characters, so that none is too long.
 
 Language: ``{{ expression }}``, ``{% if %}/{% elif %}/{% else %}/{% endif %}``,
 ``{% for x in xs %}/{% else %}/{% endfor %}`` with ``loop``, ``{% set x = e %}``,
@@ -16,7 +17,8 @@ strip white space. Expressions have literals, lists, names, ``a.b``, ``a[b]``, c
 Edge cases: null roles and texts render as empty; turns order a conversation, nulls
 first, ties by role and text, repeated rows are kept as turns; a null conversation id is a
 conversation of its own; a conversation that raises has null text and spans and the
-message in ``error``; an empty table gives no rows; other columns are not read.
+message in ``error``, which the query, without that column, raises; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,8 +49,11 @@ DEFAULT_TEMPLATE = (
 @dataclass(frozen=True)
 class ChatParams:
     template: str = DEFAULT_TEMPLATE
-    max_steps: int = 1_000_000  # nodes evaluated for a conversation
-    max_output: int = 100_000_000  # characters of a conversation
+    max_steps: int = 1_000_000  # nodes evaluated for a conversation, beside those of its messages
+    max_output: int = 100_000_000  # characters of a conversation, beside those of its messages
+    max_range: int = 100_000  # numbers of a range, beside one a message
+    per_message: int = 1_000  # nodes, and characters, that each message adds to the limits, beside the template's length
+    per_char: int = 10  # characters that each character of a message adds
 
 
 class TemplateError(ValueError):
@@ -320,14 +325,7 @@ def _text(value: object) -> str:
     return "" if value is UNDEFINED else "True" if value is True else "False" if value is False else str(value)
 
 
-def _range(*args: int) -> range:
-    found = range(*args)
-    if len(found) > 100_000:
-        raise TemplateError("range is too long")
-    return found
-
-
-FUNCTIONS: dict[str, Callable] = {"raise_exception": _raise, "range": _range}
+FUNCTIONS: dict[str, Callable] = {"raise_exception": _raise, "range": range}
 FILTERS: dict[str, Callable] = {
     "trim": lambda v, chars=None: _text(v).strip(chars),
     "upper": lambda v: _text(v).upper(),
@@ -439,22 +437,33 @@ def fold_block(nodes: list[tuple]) -> list[tuple]:
 
 
 class _State:
-    __slots__ = ("parts", "size", "spans", "steps", "params")
+    __slots__ = ("parts", "size", "spans", "steps", "max_steps", "max_output", "max_range")
 
-    def __init__(self, params: ChatParams):
-        self.parts, self.size, self.spans, self.steps, self.params = [], 0, [], 0, params
+    def __init__(self, params: ChatParams, messages: list[dict]):
+        self.parts, self.size, self.spans, self.steps = [], 0, [], 0
+        chars = sum(len(v) for m in messages for v in m.values() if isinstance(v, str))
+        more = len(messages) * (params.per_message + len(params.template))
+        self.max_steps = params.max_steps + more
+        self.max_output = params.max_output + more + params.per_char * chars
+        self.max_range = params.max_range + len(messages)
 
     def step(self) -> None:
         self.steps += 1
-        if self.steps > self.params.max_steps:
+        if self.steps > self.max_steps:
             raise TemplateError("the template takes too many steps")
 
     def write(self, text: str) -> None:
         self.size += len(text)
-        if self.size > self.params.max_output:
+        if self.size > self.max_output:
             raise TemplateError("the output is too long")
         self.parts.append(text)
 
+    def range(self, *args: int) -> range:
+        found = range(*args)
+        if len(found) > self.max_range:
+            raise TemplateError("range is too long")
+        return found
+
 
 def _closure(node: tuple) -> Callable:
     """Closure (names, state) -> value of an expression."""
@@ -492,6 +501,8 @@ def _closure(node: tuple) -> Callable:
         return lambda names, state: f(a(names, state), b(names, state))
     table_, args = {"filter": FILTERS, "test": TESTS, "call": FUNCTIONS}[kind], [_closure(n) for n in node[2:]]
     f = table_[node[1]]
+    if f is range:
+        return lambda names, state: state.range(*[a(names, state) for a in args])
     return lambda names, state: f(*[a(names, state) for a in args])
 
 
@@ -563,7 +574,8 @@ def compile_template(params: ChatParams = ChatParams()) -> Callable[[dict], tupl
     run = _runner(fold_block(parse(params.template)))
 
     def render(names: dict) -> tuple[str, list[tuple[int, int]]]:
-        state = _State(params)
+        messages = names.get("messages")
+        state = _State(params, [m for m in messages if isinstance(m, dict)] if isinstance(messages, list) else [])
         try:
             run(dict(names), state)
         except TemplateError:
@@ -575,6 +587,7 @@ def compile_template(params: ChatParams = ChatParams()) -> Callable[[dict], tupl
     return render
 
 
+MAX_BATCH = 1 << 26  # characters of the texts of an Arrow batch, after which another begins
 KIND = T.StructType(
     [
         T.StructField("text", T.StringType()),
@@ -597,17 +610,21 @@ def format_conversations(turns: DataFrame, params: ChatParams = ChatParams()) ->
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(params)
+        kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
         for batch in batches:
             out: list[tuple] = []
-            for messages in batch.column(1).to_pylist():
+            start = size = 0
+            for k in range(batch.num_rows):
                 try:
-                    text, spans = render({"messages": messages})
+                    text, spans = render({"messages": batch.column(1)[k].as_py()})
                     out.append((text, [a for a, _ in spans], [b for _, b in spans], None))
+                    size += len(text)
                 except TemplateError as e:
                     out.append((None, None, None, str(e)))
-            kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
-            columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["conv_id", *KIND.names])
+                if size > MAX_BATCH or k == batch.num_rows - 1:  # an Arrow batch holds less than 2 GB of text
+                    columns = [pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[start : k + 1], *columns], ["conv_id", *KIND.names])
+                    out, start, size = [], k + 1, 0
 
     return grouped.mapInArrow(rendered, T.StructType([turns.schema["conv_id"], *KIND.fields]))
 
@@ -615,7 +632,8 @@ def format_conversations(turns: DataFrame, params: ChatParams = ChatParams()) ->
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     done = format_conversations(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), ",")
-    return done.select("conv_id", "text", F.size("starts").cast("bigint").alias("n_spans"), spans.alias("spans"))
+    text = F.when(F.col("error").isNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(": "), F.col("error"))))
+    return done.select("conv_id", text.alias("text"), F.size("starts").cast("bigint").alias("n_spans"), spans.alias("spans"))
 
 
 QUERIES = {"op4_chat_format": op4_chat_format}

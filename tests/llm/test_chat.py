@@ -79,3 +79,30 @@ def test_messy_rows(spark):
     strict = X.ChatParams(template="{% for m in messages %}{{ raise_exception('empty') if not m.content }}{% endfor %}")
     bad = {r["conv_id"]: r for r in X.format_conversations(frame, strict).collect()}
     assert bad[2]["error"] == "empty" and bad[2]["text"] is None and bad[1]["error"] is None
+
+
+def test_limits_grow_with_the_conversation():
+    turns = [{"role": ("user", "assistant")[k % 2], "content": f"t{k}"} for k in range(200_000)]
+    text, spans = X.compile_template()({"messages": turns})
+    assert text == "".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in turns) and len(spans) == 100_000
+    small = X.ChatParams(max_steps=10, max_output=10, max_range=10)
+    assert X.compile_template(small)({"messages": turns[:500]})[0] == text[: text.index("<|im_start|>user\nt500<")]
+    counted = X.ChatParams(template="{% for k in range(messages | length) %}{{ messages[k].content }}{% endfor %}")
+    assert X.compile_template(counted)({"messages": turns})[0].endswith("t199999")
+    endless = "{% for m in messages %}{% for a in range(99999) %}x{% endfor %}{% endfor %}"
+    with pytest.raises(X.TemplateError):
+        X.compile_template(X.ChatParams(template=endless))({"messages": turns[:100]})
+
+
+def test_many_rows_without_an_id_are_formatted_whole(spark, tmp_path, monkeypatch):
+    turns = spark.range(170_000).selectExpr("if(id < 169990, null, id) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    done = {r["conv_id"]: r for r in X.op4_chat_format(spark, str(tmp_path)).collect()}
+    assert len(done) == 11 and done[None]["n_spans"] == 84_995 and done[None]["spans"].count(",") == 84_994
+    assert done[None]["text"] == "".join(f"<|im_start|>{('user', 'assistant')[k % 2]}\nt{k}<|im_end|>\n" for k in range(169_990))
+    monkeypatch.setattr(X, "MAX_BATCH", 1)  # every conversation in a batch of its own
+    assert {r["conv_id"]: r for r in X.op4_chat_format(spark, str(tmp_path)).collect()} == done
+    whole = X.format_conversations
+    monkeypatch.setattr(X, "format_conversations", lambda turns: whole(turns, X.ChatParams(template="{{ raise_exception('lost') }}")))
+    with pytest.raises(Exception, match="conversation .*: lost"):
+        X.op4_chat_format(spark, str(tmp_path)).collect()
