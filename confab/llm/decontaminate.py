@@ -2,7 +2,8 @@
 
 Two maps over the corpus. The first counts, over all documents, how many hold each
 n-gram of the test items; from those counts every item gets its seeds, the n-grams
-that are rare in the corpus. The second finds seeds in the documents and aligns the
+that are rare in the corpus or little commoner than the rarer half of its own, wherever
+in the item they lie. The second finds seeds in the documents and aligns the
 item with the passage around each hit; the alignment score, as a share of the item's
 own, decides. Substituted, inserted and lost words cost little, so edited copies score
 high. Neither map shuffles texts: only n-gram counts move.
@@ -45,6 +46,7 @@ class AlignParams:
     n: int = 4
     rare_share: float = 0.01  # an n-gram in no more than this share of the documents is rare
     rare_count: int = 50  # and so is one in no more than so many documents, which matters in small tables
+    near_half: float = 4.0  # an n-gram is a seed up to so many times the count that bounds the rarer half of the item
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -146,7 +148,12 @@ class Items:
         return np.array(at_all, np.int64), np.array(gram_all, np.int64)
 
     def choose_seeds(self, df: dict[int, int], documents: int) -> None:
-        """Per item: the rare n-grams and, if few are rare, the rarer half of those that occur."""
+        """Per item: the rare n-grams and, if few are rare, the rarer half of those that occur.
+
+        An item that leaks often has counts that are all alike or, with edited copies, nearly
+        so; n-grams up to ``near_half`` times as common as that half are seeds too, lest one
+        end of the item be without. Where that half is in most documents, it is spread evenly.
+        """
         self.seeds = [set() for _ in self.ids]
         of_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for g, places in enumerate(self.where):
@@ -156,7 +163,14 @@ class Items:
         for k, found in of_item.items():
             found = sorted(f for f in found if f[0])
             half = (len(found) + 1) // 2
-            self.seeds[k] = {g for i, (n, _, g) in enumerate(found) if i < half or n <= rare}
+            mark = found[half - 1][0] if found else 0
+            if 2 * mark <= documents:
+                self.seeds[k] = {g for n, _, g in found if n <= max(rare, self.params.near_half * mark)}
+                continue
+            clear = [f for f in found if 2 * f[0] < mark]
+            rest = sorted((at, n, g) for n, at, g in found[len(clear) :])
+            spread = [rest[i * len(rest) // (half - len(clear))][2] for i in range(half - len(clear))]
+            self.seeds[k] = {*spread, *(f[2] for f in clear), *(g for n, _, g in found if n <= rare)}
 
     def matches(self, words: list[str]) -> list[tuple[object, float]]:
         """(item id, score) of the items aligned to the words at or above the threshold."""

@@ -69,6 +69,20 @@ def test_common_words_are_no_seeds():
     assert len(items.seeds[0]) == 6  # the rarer half of those that occur always stays
 
 
+def test_an_item_that_leaks_often_has_seeds_everywhere(spark):
+    rng = random.Random(4)
+    item = messy.words(rng, 40)
+    damaged = [w if i % 3 else "other" for i, w in enumerate(item)]  # no n-gram is left
+    copies = [item] * 60 + [damaged[:20] + item[20:]] * 70 + [item[:20] + damaged[20:]] * 5
+    docs = [(d, " ".join(messy.words(rng, 20) + (copies[d] if d < len(copies) else []) + messy.words(rng, 20))) for d in range(400)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in X.contaminated(*frames).collect()} == set(range(len(copies)))
+    items = X.Items([(1, " ".join(item))], P)
+    items.choose_seeds({g: 900 + g for g in range(len(items.grams))}, 1000)
+    places = sorted(at for g in items.seeds[0] for _, at in items.where[g])
+    assert len(places) == 19 and max(b - a for a, b in zip([-1, *places], [*places, 37])) <= 2  # any five words in a row hold a seed
+
+
 def test_messy_rows(spark):
     docs = messy.docs(spark)
     base = messy.rows()[0][1]
