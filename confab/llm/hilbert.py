@@ -95,29 +95,35 @@ def hilbert_column(docs: DataFrame, params: HilbertParams = HilbertParams()) ->
     return hilbert_index([bucket_column(c, bucket_bounds(docs, c, params.bits)) for c in params.columns], params.bits)
 
 
-def assign_shards(docs: DataFrame, params: HilbertParams = HilbertParams()) -> DataFrame:
-    """(doc_id, hilbert, shard) of every row."""
+def _placed(docs: DataFrame, params: HilbertParams, *row: Column) -> DataFrame:
+    """(doc_id, hilbert, weight, shard, row...) of every row, in the one order that cuts shards."""
     weight = F.greatest(F.coalesce(F.col(params.size).cast("bigint"), F.lit(0)), F.lit(0))
-    placed = docs.select("doc_id", hilbert_column(docs, params).alias("hilbert"), weight.alias("weight"))
+    placed = docs.select("doc_id", hilbert_column(docs, params).alias("hilbert"), weight.alias("weight"), *row)
     total = running_total(placed, ["hilbert", "doc_id", "weight"], "weight", "before")
-    return total.select("doc_id", "hilbert", F.floor(F.col("before") / params.target).cast("bigint").alias("shard"))
+    return total.withColumn("shard", F.floor(F.col("before") / params.target).cast("bigint"))
+
+
+def assign_shards(docs: DataFrame, params: HilbertParams = HilbertParams()) -> DataFrame:
+    """(doc_id, hilbert, shard) of every row."""
+    return _placed(docs, params).select("doc_id", "hilbert", "shard")
 
 
 def shard_statistics(docs: DataFrame, params: HilbertParams = HilbertParams()) -> DataFrame:
     """One row a shard: rows, size, and the bounds of each curve column, for pruning."""
-    weight = F.greatest(F.coalesce(F.col(params.size).cast("bigint"), F.lit(0)), F.lit(0))
-    placed = docs.select(*dict.fromkeys(params.columns), hilbert_column(docs, params).alias("_hilbert"), weight.alias("_weight"))
-    total = running_total(placed, ["_hilbert"], "_weight", "_total").withColumn("shard", F.floor(F.col("_total") / params.target).cast("bigint"))
-    bounds = [f(c).alias(f"{name}_{c}") for c in params.columns for name, f in (("min", F.min), ("max", F.max))]
-    return total.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("_weight").alias("size"), *bounds)
+    placed = _placed(docs, params, F.struct(*dict.fromkeys(params.columns)).alias("row"))
+    bounds = [f(F.col("row")[c]).alias(f"{name}_{c}") for c in params.columns for name, f in (("min", F.min), ("max", F.max))]
+    return placed.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("weight").alias("size"), *bounds)
 
 
 def write_shards(docs: DataFrame, path: str, params: HilbertParams = HilbertParams()) -> None:
-    """Write all columns in curve order, a file a run; texts are shuffled once, by range."""
-    total = docs.agg(F.sum(F.greatest(F.coalesce(F.col(params.size).cast("bigint"), F.lit(0)), F.lit(0)))).first()[0] or 0
-    files = max(1, -(-total // params.target))
-    ordered = docs.withColumn("_hilbert", hilbert_column(docs, params)).repartitionByRange(files, "_hilbert", "doc_id")
-    ordered.sortWithinPartitions("_hilbert", "doc_id").drop("_hilbert").write.parquet(path)
+    """Write all columns in curve order, a file a shard, whose part number is the shard's.
+
+    Texts are shuffled twice: by range, for the running total, and to the file of their shard.
+    """
+    placed = _placed(docs, params, F.struct("*").alias("row"))
+    files = (placed.agg(F.max("shard")).first()[0] or 0) + 1
+    ordered = placed.repartitionById(files, F.col("shard").cast("int")).sortWithinPartitions("hilbert", "doc_id", "weight")
+    ordered.select("row.*").write.parquet(path)
 
 
 def op2_hilbert_shards(spark, sf_dir: str) -> DataFrame:

@@ -40,6 +40,23 @@ def test_written_files_hold_every_row(spark, sf, tmp_path):
     assert len(list((tmp_path / "out").glob("*.parquet"))) > 1
 
 
+def test_files_and_statistics_are_those_of_the_shards(spark, tmp_path):
+    rows = [(k * 37 % 400, "s", "en", 3000 if k % 50 == 0 else 100, "own") for k in range(400)]  # two cells, cut within
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, shard string")
+    params = X.HilbertParams(columns=("doc_id", "lang"), bits=1, target=2000)
+    want = {}
+    for r in X.assign_shards(docs, params).collect():
+        want.setdefault(r["shard"], set()).add(r["doc_id"])
+    stats = {r["shard"]: r for r in X.shard_statistics(docs, params).collect()}
+    assert {k: (r["rows"], r["min_doc_id"], r["max_doc_id"]) for k, r in stats.items()} == {k: (len(v), min(v), max(v)) for k, v in want.items()}
+    X.write_shards(docs, str(tmp_path / "out"), params)
+    files = {int(p.name.split("-")[1]): spark.read.parquet(str(p)).collect() for p in (tmp_path / "out").glob("*.parquet")}
+    assert {k: {r["doc_id"] for r in v} for k, v in files.items()} == want and max(want) > len(want)
+    assert all(r["shard"] == "own" for v in files.values() for r in v)
+    X.write_shards(docs.limit(0), str(tmp_path / "none"), params)
+    assert spark.read.parquet(str(tmp_path / "none")).columns == docs.columns
+
+
 def test_messy_rows(spark):
     docs = messy.docs(spark)
     found = X.assign_shards(docs).collect()
