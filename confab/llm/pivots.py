@@ -14,9 +14,10 @@ one task, so no list is too long for a task and none is cut short.
 The search is approximate: a pair above the threshold is missed if its prefixes share
 fewer than ``shared`` pivots. Recall is tested against brute force.
 
-Edge cases: null ids and null, empty, zero or non-finite vectors, or vectors of another
-length than the table's most common, are in no pair; a repeated row pairs as one; equal
-vectors pair with cosine 1; an empty table gives no rows; other columns are not read.
+Edge cases: null ids and null, empty, zero or non-finite vectors are in no pair; vectors
+of each length have an index of their own and pair among themselves; a repeated row
+pairs as one; equal vectors pair with cosine 1; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -103,11 +104,18 @@ def near_pairs(embeddings: DataFrame, params: PivotParams = PivotParams()) -> Da
     own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
     fine = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)  # null or NaN if any element is
     own = own.where("vec_id is not null and size(v) > 0").where((fine > 0) & (fine < float("inf"))).dropDuplicates(["vec_id", "v"])
-    sizes = own.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if sizes is None:
+    sizes = own.groupBy(F.size("v").alias("dim")).count().where("count > 1").orderBy("dim").collect()  # a row a length
+    found = None
+    for dim, total in sizes:
+        pairs = _pairs_of_length(own.where(F.size("v") == dim), dim, total, params)
+        found = pairs if found is None else found.unionByName(pairs)
+    if found is None:
         return spark.createDataFrame([], kind)
-    dim, total = sizes["dim"], sizes["count"]
-    own = own.where(F.size("v") == dim)
+    return found.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 3).alias("cosine"))
+
+
+def _pairs_of_length(own: DataFrame, dim: int, total: int, params: PivotParams) -> DataFrame:
+    """(vec_a, vec_b, cosine) of the ``total`` vectors (vec_id, v) of ``own``, all of ``dim`` elements."""
     count = int(min(params.max_pivots, max(params.min_pivots, params.pivot_factor * total**0.5)))
     chosen = bounded_sample(own.dropDuplicates(["v"]), "vec_id", count).select("v").toArrow()["v"].combine_chunks()
     pivots = matrix_of(chosen, dim)
@@ -130,7 +138,7 @@ def near_pairs(embeddings: DataFrame, params: PivotParams = PivotParams()) -> Da
         a, b, cosine = pairs_in_list(key[0].as_py(), columns[0].to_numpy(), matrix_of(columns[1], dim), near, columns[3].to_numpy(), params)
         return pa.table({"vec_a": pa.array(a, pa.int64()), "vec_b": pa.array(b, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
 
-    return tasks.groupBy("pivot", "a", "b").applyInArrow(verify, kind).groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 3).alias("cosine"))
+    return tasks.groupBy("pivot", "a", "b").applyInArrow(verify, "vec_a long, vec_b long, cosine double")
 
 
 def op1_pivot_near_dedup(spark, sf_dir: str) -> DataFrame:

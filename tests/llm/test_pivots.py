@@ -34,6 +34,15 @@ def test_cutting_lists_changes_nothing(spark):
     assert whole and set(map(tuple, X.near_pairs(frame, X.PivotParams(block=13)).collect())) == whole
 
 
+def test_vectors_of_every_length_are_searched(spark):
+    long, short = clustered(400, 2), clustered(200, 3, 8)
+    rows = [(k, x.tolist(), 1, "", 2) for k, x in enumerate([*long, *short])]
+    found = {(r["vec_a"], r["vec_b"]) for r in X.near_pairs(spark.createDataFrame([*rows, (900, [1.0, 2.0], 1, "", 2)], KIND)).collect()}
+    for want in (brute(long, 0.95), {(a + 400, b + 400) for a, b in brute(short, 0.95)}):
+        assert len(found & want) >= 0.95 * len(want) > 50
+    assert found <= brute(long, 0.9499) | {(a + 400, b + 400) for a, b in brute(short, 0.9499)}
+
+
 def test_messy_rows(spark):
     a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.0]
     rows = [(1, a), (2, a), (2, a), (3, b), (None, a), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 2.0]), (8, [float("nan"), 1.0, 1.0]), (9, [1.0, 2.0]), (10, [2.0, 4.0, 6.0]), (11, [float("inf"), 0.0, 0.0])]
