@@ -7,9 +7,10 @@ of merging the whole. Fragments are short and recur, so their ids are kept, for
 bounded number of them. One map over the corpus; the vocabulary, a file named by a
 parameter and read on the driver, travels with the task.
 
-Edge cases: null text gives null ids, count and check; empty text gives no ids; any
-valid text decodes to itself; repeated rows and ids answer alike; other columns are
-neither read nor needed.
+Edge cases: null text gives null ids, count and check; empty text gives no ids; very
+long texts, and fragments, are encoded whole; of pairs of equal rank the leftmost merges
+first; any valid text decodes to itself; repeated rows and ids answer alike; an empty
+table gives no rows; other columns are neither read nor needed.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from confab.llm.texts import blocks, small_batches
+from confab.llm.texts import text_blocks
 from confab.sources.tables import table
 
 PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -169,15 +170,14 @@ def encode(docs: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(vocab, params)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                ids = [None if t is None else bpe.encode(t) for t in texts[a:b]]
-                same = [None if i is None else bpe.decode(i) == t for i, t in zip(ids, texts[a:b])]
+            for first, texts in text_blocks(batch.column(1)):
+                ids = [None if t is None else bpe.encode(t) for t in texts]
+                same = [None if i is None else bpe.decode(i) == t for i, t in zip(ids, texts)]
                 counts = pa.array([None if i is None else len(i) for i in ids], pa.int64())
-                columns = [batch.column(0).slice(a, b - a), _arrow_lists(ids, pa.int32()), counts, pa.array(same, pa.bool_())]
+                columns = [batch.column(0).slice(first, len(texts)), _arrow_lists(ids, pa.int32()), counts, pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "lossless"])
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(encoded, kind)
+    return docs.select("doc_id", "text").mapInArrow(encoded, kind)
 
 
 def decode(encoded: DataFrame, params: BpeParams = BpeParams()) -> DataFrame:

@@ -580,7 +580,7 @@ def compile_template(params: ChatParams = ChatParams()) -> Callable[[dict], tupl
             run(dict(names), state)
         except TemplateError:
             raise
-        except (TypeError, ValueError, ArithmeticError, RecursionError, LookupError) as e:
+        except Exception as e:  # whatever a template's values raise is that conversation's error, not the task's
             raise TemplateError(f"{type(e).__name__}: {e}") from e
         return "".join(state.parts), state.spans
 

@@ -8,12 +8,18 @@ item with the passage around each hit; the alignment score, as a share of the it
 own, decides. Substituted, inserted and lost words cost little, so edited copies score
 high. Neither map shuffles texts: only n-gram counts move.
 
+An item whose own n-grams are all common tells nothing by one of them: a short item, of
+fewer than ``short`` n-grams' words, is sought by rare n-grams alone, and a passage found by
+common n-grams only must share two of them that don't overlap. Items with no seed are
+listed by :func:`unsought`, not sought by a word that half the corpus holds.
+
 Test items are looked up from a table inside each task. Its size is checked: beyond
 ``items_per_pass`` words the items are cut into slices by hash, each with its own two
 maps, so memory stays bounded for any benchmark.
 
 Edge cases: null or wordless texts and items match nothing; items shorter than an
-n-gram are sought whole; rows that share a document or item id answer with their best
+n-gram are sought whole, if that is rare; very long texts are searched and aligned whole;
+equal scores all count, and of an item's n-grams with equal counts those nearer its start come first; rows that share a document or item id answer with their best
 score; null ids are left out of the pairs, yet such documents are dropped by
 ``drop_contaminated`` when they match; no items means no pairs; other columns are
 neither read nor lost.
@@ -27,14 +33,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
-from confab.llm.texts import blocks, small_batches
+from confab.llm.texts import text_blocks
 from confab.sources.tables import table
 
 WORD = re.compile(r"\w+")
@@ -46,6 +52,7 @@ class AlignParams:
     n: int = 4
     rare_share: float = 0.01  # an n-gram in no more than this share of the documents is rare
     rare_count: int = 50  # and so is one in no more than so many documents, which matters in small tables
+    short: int = 2  # items of fewer words than so many n-grams laid end to end are sought by rare n-grams alone
     near_half: float = 4.0  # an n-gram is a seed up to so many times the count that bounds the rarer half of the item
     match: int = 2
     mismatch: int = -1
@@ -160,10 +167,14 @@ class Items:
             for k, at in places:
                 of_item[k].append((df.get(g, 0), at, g))
         rare = max(self.params.rare_count, self.params.rare_share * documents)
+        self.common = np.array([df.get(g, 0) > rare for g in range(len(self.where))], bool)
         for k, found in of_item.items():
             found = sorted(f for f in found if f[0])
             half = (len(found) + 1) // 2
             mark = found[half - 1][0] if found else 0
+            if len(self.texts[k]) < self.params.short * self.params.n:
+                self.seeds[k] = {g for n, _, g in found if n <= rare}
+                continue
             if 2 * mark <= documents:
                 self.seeds[k] = {g for n, _, g in found if n <= max(rare, self.params.near_half * mark)}
                 continue
@@ -176,22 +187,24 @@ class Items:
         """(item id, score) of the items aligned to the words at or above the threshold."""
         seq = self.encode(words)
         at, grams = self.hits(seq)
-        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        spans: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)
         for p, g in zip(at, grams):
             for k, offset in self.where[g]:
                 if g in self.seeds[k]:
                     n = len(self.texts[k])
-                    spans[k].append((p - offset - n // 2 - 2, p - offset + n + n // 2 + 2))
+                    spans[k].append((p - offset - n // 2 - 2, p - offset + n + n // 2 + 2, p, not self.common[g]))
         found = []
         for k, own in spans.items():
             own.sort()
-            best, (lo, hi) = 0, own[0]
-            for a, b in [*own[1:], (len(seq) + 1 << 40, 0)]:
+            best, (lo, hi, first, sure) = 0, own[0]
+            last = first
+            for a, b, p, rare in [*own[1:], (len(seq) + 1 << 40, 0, 0, False)]:
                 if a <= hi:
-                    hi = max(hi, b)
+                    hi, first, last, sure = max(hi, b), min(first, p), max(last, p), sure or rare
                     continue
-                best = max(best, align(self.texts[k], seq[max(0, lo) : max(0, hi)], self.params))
-                lo, hi = a, b
+                if sure or last - first >= self.params.n:
+                    best = max(best, align(self.texts[k], seq[max(0, lo) : max(0, hi)], self.params))
+                lo, hi, first, last, sure = a, b, p, p, rare
             share = best / (self.params.match * len(self.texts[k]))
             if share >= self.params.threshold:
                 found.append((self.ids[k], share))
@@ -202,11 +215,10 @@ def _count(items: Items):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, documents = np.zeros(len(items.grams), np.int64), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            documents += len(texts)
-            for a, b in blocks(texts):
+            documents += batch.num_rows
+            for _, texts in text_blocks(batch.column(0)):
                 words, ends = [], []
-                for t in texts[a:b]:
+                for t in texts:
                     words += words_of(t)
                     words += ["\n"] * items.params.n  # no n-gram runs from one text into the next
                     ends.append(len(words))
@@ -231,7 +243,7 @@ def passes(docs: DataFrame, benchmark: DataFrame, params: AlignParams = AlignPar
         items = Items([(r[0], r[1]) for r in rows], params)
         if not items.ids:
             continue
-        counts = small_batches(docs).select("text").mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = docs.select("text").mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         df = {r["gram"]: r["n"] for r in counts.collect()}  # the slice's n-grams at most
         items.choose_seeds(df, df.pop(-1, 0))
         yield items
@@ -241,10 +253,12 @@ def match_column(items: Items, item_type: T.DataType, text: str = "text") -> Col
     """Array of (item_id, score) of the items that a text leaks."""
     kind = T.ArrayType(T.StructType([T.StructField("item_id", item_type), T.StructField("score", T.DoubleType())]))
 
-    @pandas_udf(kind)
-    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf(kind)
+    def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        arrow = to_arrow_type(kind)
         for batch in batches:
-            yield pd.Series([[{"item_id": i, "score": s} for i, s in items.matches(words_of(t if isinstance(t, str) else None))] for t in batch], dtype=object)
+            found = [items.matches(words_of(t)) for _, texts in text_blocks(batch) for t in texts]
+            yield pa.array([[{"item_id": i, "score": s} for i, s in own] for own in found], arrow)
 
     return leaks(F.col(text))
 
@@ -269,6 +283,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: AlignParams
     return kept
 
 
+def unsought(docs: DataFrame, benchmark: DataFrame, params: AlignParams = AlignParams()) -> DataFrame:
+    """(item_id) of the items with words but without a seed: none of their n-grams occurs, or all are too common to tell."""
+    found = [(i,) for items in passes(docs, benchmark, params) for i, seeds in zip(items.ids, items.seeds) if not seeds]
+    kind = T.StructType([T.StructField("item_id", benchmark.schema["item_id"].dataType)])
+    return docs.sparkSession.createDataFrame(found, kind).distinct()
+
+
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confab.plans.lineage import cut_lineage
+from confab.plans.lineage import cut_lineage, temporary
 from confab.plans.ranks import running_total
 from confab.sources.tables import table
 
@@ -74,10 +74,11 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
 def bucket_bounds(docs: DataFrame, column: str, bits: int) -> list[tuple[int, object]]:
     """(bucket, least value) of the buckets in use, at most 2^bits of them."""
     counts = docs.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    placed = cut_lineage(running_total(counts, ["v"], "n", "before"), "bounds")
-    total = placed.agg(F.sum("n")).first()[0] or 1
-    bucket = F.floor(F.col("before") * (1 << bits) / total).cast("int")
-    rows = placed.where("v is not null").groupBy(bucket.alias("b")).agg(F.min("v").alias("v")).orderBy("b").collect()
+    with temporary():
+        placed = cut_lineage(running_total(counts, ["v"], "n", "before"), "bounds")
+        total = placed.agg(F.sum("n")).first()[0] or 1
+        bucket = F.floor(F.col("before") * (1 << bits) / total).cast("int")
+        rows = placed.where("v is not null").groupBy(bucket.alias("b")).agg(F.min("v").alias("v")).orderBy("b").collect()
     return [(r["b"], r["v"]) for r in rows]
 
 

@@ -3,21 +3,27 @@
 A vector is described by its nearest reference points (pivots) in order, kept to a
 prefix. Inverted lists hold, for each pivot, the vectors whose prefix names it. Within
 a list, pairs that share enough pivots are candidates; their cosine decides. Counting is
-a product of incidence matrices and a pair is answered only in the list of the least
+a product of incidence matrices and a pair is answered only in the list of the first
 pivot it shares, so nothing is answered twice and no candidates are collected.
 
-The number of pivots grows with the square root of the number of vectors, which keeps
-lists short; pivots are a bounded sample (``max_pivots`` rows) and are the only thing
-broadcast. A list longer than ``block`` is cut into blocks and each pair of blocks is
-one task, so no list is too long for a task and none is cut short.
+Pivots are put in one order, that of the shortest list first. Two prefixes of ``prefix``
+pivots that share ``shared`` of them also share one of the first ``prefix - shared + 1``
+of each in that order, so a vector is sent to those lists only, its shortest, and no pair
+is lost by it. The number of pivots grows with the square root of the number of vectors,
+which keeps lists short; they are the only thing broadcast, and their size is bounded by
+``pivot_bytes`` (a million pivots of 64 numbers, enough for 10^11 vectors; beyond it lists
+grow in proportion). A list longer than ``block`` is cut into blocks and each pair of
+blocks is one task, so no list is too long for a task and none is cut short.
 
 The search is approximate: a pair above the threshold is missed if its prefixes share
 fewer than ``shared`` pivots. Recall is tested against brute force.
 
 Edge cases: null ids and null, empty, zero or non-finite vectors are in no pair; vectors
 of each length have an index of their own and pair among themselves; a repeated row
-pairs as one; equal vectors pair with cosine 1; an empty table gives no rows; other
-columns are not read.
+pairs as one; vectors that share an id don't pair with each other, and a pair of ids
+answers with its greatest cosine; equal vectors pair with cosine 1; pivots that are
+equally near may stand in any order; ids are integers, or texts of integers, and any other
+is an error; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ class PivotParams:
     shared: int = 3  # pivots that a candidate pair has in common
     pivot_factor: float = 2.0  # pivots = factor * sqrt(vectors)
     min_pivots: int = 16
-    max_pivots: int = 16_384
+    pivot_bytes: int = 256 << 20  # of all pivots, in float32
     block: int = 4096  # vectors of a list in one block
 
 
@@ -60,8 +66,11 @@ def _describe(pivots: np.ndarray, prefix: int, dim: int):
             unit = matrix_of(batch.column(1), dim)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             near = np.empty((len(unit), prefix), np.int32)
-            for a in range(0, len(unit), 512):
-                near[a : a + 512] = np.argsort(-(unit[a : a + 512] @ pivots.T), axis=1, kind="stable")[:, :prefix]
+            rows = max(1, (1 << 22) // len(pivots))
+            for a in range(0, len(unit), rows):
+                far = -(unit[a : a + rows] @ pivots.T)
+                some = np.argpartition(far, prefix - 1, axis=1)[:, :prefix] if prefix < len(pivots) else np.broadcast_to(np.arange(prefix), far.shape)
+                near[a : a + rows] = np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
             sizes = lambda n: pa.array(np.arange(len(unit) + 1, dtype=np.int32) * n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(sizes(dim), pa.array(unit.ravel())), pa.ListArray.from_arrays(sizes(prefix), pa.array(near.ravel()))],
@@ -72,7 +81,10 @@ def _describe(pivots: np.ndarray, prefix: int, dim: int):
 
 
 def pairs_in_list(pivot: int, ids: np.ndarray, unit: np.ndarray, near: np.ndarray, side: np.ndarray, params: PivotParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of one list (or of two blocks of it) that this pivot answers for: ids and cosine."""
+    """Pairs of one list (or of two blocks of it) that this pivot answers for: ids and cosine.
+
+    ``pivot`` and ``near`` are places in the common order of pivots.
+    """
     one = np.flatnonzero(side == 0)
     two = np.flatnonzero(side == 1) if side.any() else one
     names, where = np.unique(near, return_inverse=True)
@@ -103,7 +115,7 @@ def near_pairs(embeddings: DataFrame, params: PivotParams = PivotParams()) -> Da
     spark, kind = embeddings.sparkSession, "vec_a long, vec_b long, cosine double"
     own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
     fine = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)  # null or NaN if any element is
-    own = own.where("vec_id is not null and size(v) > 0").where((fine > 0) & (fine < float("inf"))).dropDuplicates(["vec_id", "v"])
+    own = own.where("vec_id is not null and size(v) > 0").where((fine > 0) & (fine < float("inf")))
     sizes = own.groupBy(F.size("v").alias("dim")).count().where("count > 1").orderBy("dim").collect()  # a row a length
     found = None
     for dim, total in sizes:
@@ -111,22 +123,28 @@ def near_pairs(embeddings: DataFrame, params: PivotParams = PivotParams()) -> Da
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         return spark.createDataFrame([], kind)
-    return found.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 3).alias("cosine"))
+    return found.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 3).alias("cosine"))  # a repeated row repeats its pairs
 
 
 def _pairs_of_length(own: DataFrame, dim: int, total: int, params: PivotParams) -> DataFrame:
     """(vec_a, vec_b, cosine) of the ``total`` vectors (vec_id, v) of ``own``, all of ``dim`` elements."""
-    count = int(min(params.max_pivots, max(params.min_pivots, params.pivot_factor * total**0.5)))
-    chosen = bounded_sample(own.dropDuplicates(["v"]), "vec_id", count).select("v").toArrow()["v"].combine_chunks()
-    pivots = matrix_of(chosen, dim)
+    most = max(params.min_pivots, params.pivot_bytes // (4 * dim))
+    count = int(min(most, max(params.min_pivots, params.pivot_factor * total**0.5)))
+    hashed = own.select("v", F.xxhash64("v").alias("key"))  # equal vectors are chosen, or not, as one
+    chosen = bounded_sample(hashed, "key", count).select("v").toArrow()["v"].combine_chunks()
+    pivots = np.unique(matrix_of(chosen, dim), axis=0)
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     prefix = min(params.prefix, len(pivots))
     params = PivotParams(**{**params.__dict__, "prefix": prefix, "shared": min(params.shared, prefix)})
     index = cut_lineage(own.mapInArrow(_describe(pivots, prefix, dim), "vec_id long, unit array<float>, near array<int>"), "pivots")
-    lists = index.select("*", F.explode("near").alias("pivot"))
-    lengths = {r["pivot"]: r["count"] for r in lists.groupBy("pivot").count().collect()}  # a row a pivot
+    counts = {r["pivot"]: r["count"] for r in index.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect()}  # a row a pivot
+    place = np.empty(len(pivots), int)
+    place[sorted(range(len(pivots)), key=lambda p: (counts.get(p, 0), p))] = np.arange(len(pivots))
+    ranked = F.array_sort(F.transform("near", lambda p: F.get(F.array(*map(F.lit, place.tolist())), p)))
+    listed = index.select("vec_id", "unit", ranked.alias("near")).withColumn("pivot", F.explode(F.slice("near", 1, prefix - params.shared + 1)))
+    lengths = {r["pivot"]: r["count"] for r in listed.groupBy("pivot").count().collect()}
     cuts = F.array(*[F.lit(max(1, -(-lengths.get(p, 0) // params.block))) for p in range(len(pivots))])
-    placed = lists.withColumn("cuts", F.get(cuts, F.col("pivot"))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
+    placed = listed.withColumn("cuts", F.get(cuts, F.col("pivot"))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
     tasks = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")).select(
         "pivot", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") > F.col("other")).cast("int").alias("side"), "vec_id", "unit", "near"
     )

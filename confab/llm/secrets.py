@@ -5,16 +5,20 @@ weights of the token's shape and content, of its two neighbours on either side a
 the file as a whole; transitions complete the chain; Viterbi decodes it. The chain is
 trained in numpy by forward-backward on a bounded sample of passages whose own known
 formats are labelled, plus passages with generated secrets of many formats and with
-look-alikes (mail and network addresses, card and phone numbers, versions, dates).
+look-alikes (mail and network addresses, card and phone numbers, versions, dates). The
+sample is of documents; each of them trains as a whole, cut into consecutive passages.
 
 A token's weights depend on the token alone, so they are computed once per distinct
-token and kept. Where no token of a text can gain by leaving "outside", even under the
-most favourable transitions, the all-outside path is optimal and Viterbi is not run:
-that bound is exact. Whole texts are scanned in one map, without a shuffle.
-
-Edge cases: null and empty texts hold no secret; white space alone likewise; repeated
-rows answer alike; a null id is reported with its spans; other columns are neither
-read nor changed.
+token and kept; a token has as many features as it shows, with no bound. Where no token
+of a text can gain by leaving "outside", even under the most favourable transitions, the
+all-outside path is optimal and Viterbi is not run: that bound is exact. Whole texts are
+scanned in one map, without a shuffle.
+
+Edge cases: null and empty texts hold no secret; white space alone likewise; very long
+texts are scanned whole; of equally good labellings that with the lower labels (begin,
+inside, outside), decided from the last token back, is taken; repeated rows answer alike;
+a null id is reported with its spans; without documents only generated passages train;
+an empty table gives no rows; other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -28,14 +32,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from confab.llm.texts import blocks, bounded_sample, small_batches
+from confab.llm.texts import blocks, bounded_sample, text_blocks
 from confab.sources.tables import table
 
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -53,7 +57,7 @@ KNOWN = re.compile(
 
 @dataclass(frozen=True)
 class SecretParams:
-    """``sample_rows`` bounds the documents whose passages train the chain."""
+    """``sample_rows`` bounds the documents that train the chain, all of their passages."""
 
     sample_rows: int = 1200
     generated: int = 2400  # passages with generated secrets or look-alikes
@@ -62,13 +66,14 @@ class SecretParams:
     epochs: int = 12
     rate: float = 0.2
     decay: float = 1e-5
+    certain: float = 1e-3  # error of the probabilities up to which a training passage may wait
     seed: int = 11
 
 
 @dataclass
 class SecretModel:
     params: SecretParams
-    own: np.ndarray  # offsets x buckets x labels
+    own: np.ndarray  # buckets x offsets x labels
     file: np.ndarray  # buckets x labels
     trans: np.ndarray  # labels x labels
 
@@ -116,17 +121,38 @@ def traits(token: str) -> list[str]:
     return found
 
 
-def file_traits(tokens: list[str]) -> list[str]:
-    """Features of the whole text: its size, and how code-like its tokens are."""
-    n = max(1, len(tokens))
-    code = sum(1 for t in tokens if t[-1:] in "{};=" or t[:1] in "\"'") / n
-    return [f"file-size{min(n.bit_length(), 16)}", f"file-code{min(int(code * 20), 6)}", "bias"]
+def code_like(token: str) -> bool:
+    return token[-1:] in "{};=" or token[:1] in "\"'"
+
+
+def file_traits(n: int, code: int) -> list[str]:
+    """Features of a whole text of ``n`` tokens, ``code`` of them code-like."""
+    return [f"file-size{min(max(1, n).bit_length(), 16)}", f"file-code{min(code * 20 // max(1, n), 6)}", "bias"]
 
 
 def _rows(parts: list[str], buckets: int) -> list[int]:
     return [xxhash.xxh32_intdigest(p) % buckets for p in parts]
 
 
+def feature_rows(tokens: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of all tokens, one after the other, and where each token's begin.
+
+    Equal to hashing :func:`traits`, whose first case, by far the most common, is taken apart here.
+    """
+    digest, flat, starts = xxhash.xxh32_intdigest, [], []
+    alpha, sizes = _rows(["alpha"], buckets)[0], _rows([f"n{k}" for k in range(7)], buckets)
+    long = _rows(["w+"], buckets)[0]
+    for token in tokens:
+        starts.append(len(flat))
+        core = token.strip(TRIM)
+        if core.isalpha() and (core.islower() or core.istitle() or core.isupper()):
+            n = len(core)
+            flat += (digest("w=" + core.lower()) % buckets if n <= 14 else long, alpha, sizes[min(n.bit_length(), 6)])
+        else:
+            flat += _rows(traits(token), buckets)
+    return np.array(flat, np.int64), np.array(starts, np.int64)
+
+
 def _make_secret(rng: random.Random) -> list[str]:
     """Tokens of a generated secret in its context; labels follow from the marks in them."""
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
@@ -177,23 +203,23 @@ def known_labels(text: str) -> tuple[list[str], list[int]]:
     return tokens, labels
 
 
-def training_passages(texts: list[str], params: SecretParams) -> list[tuple[list[str], list[int], list[str]]]:
+Passage = tuple[list[str], list[int], list[str]]  # tokens with two of context on either side, labels of the others, features of the file
+
+
+def training_passages(texts: list[str], params: SecretParams) -> list[Passage]:
+    """All passages of all texts, and generated ones; "" is context that isn't there."""
     rng = random.Random(params.seed)
     found, clean = [], []
     for text in texts:
         tokens, labels = known_labels(text)
-        if not tokens:
-            continue
-        doc = file_traits(tokens)
-        hot = [i for i, y in enumerate(labels) if y != OUTSIDE][:3]
-        odd = [i for i, t in enumerate(tokens) if any(c.isdigit() for c in t)][:4]
-        for i in [*hot, *odd, rng.randrange(len(tokens))]:
-            a = max(0, i - rng.randrange(params.length))
-            part = tokens[a : a + params.length], labels[a : a + params.length], doc
+        doc = file_traits(len(tokens), sum(map(code_like, tokens)))
+        wide = ["", "", *tokens, "", ""]
+        for a in range(0, len(tokens), params.length):
+            part = wide[a : a + params.length + 4], labels[a : a + params.length], doc
             found.append(part)
             if all(y == OUTSIDE for y in part[1]):
                 clean.append(part)
-    clean = clean or [("the words around it are plain".split(), [OUTSIDE] * 6, ["bias"])]
+    clean = clean or [(["", "", *"the words around it are plain".split(), "", ""], [OUTSIDE] * 6, ["bias"])]
     noise = ["", "", "", "", "!!", "%%%", "###", "$$$", "&&&", "***"]
     for _ in range(params.generated):
         tokens, labels, doc = rng.choice(clean)
@@ -203,89 +229,102 @@ def training_passages(texts: list[str], params: SecretParams) -> list[tuple[list
         extra = [t.strip("\0\1") + tail for t in extra]
         if tail == "!!":
             extra = [t.upper() for t in extra]
-        at = rng.randint(0, len(tokens))
-        found.append((tokens[:at] + extra + tokens[at:], labels[:at] + ys + labels[at:], doc))
+        at = rng.randint(0, len(labels))
+        found.append((tokens[: at + 2] + extra + tokens[at + 2 :], labels[:at] + ys + labels[at:], doc))
     return found
 
 
 def train(texts: list[str], params: SecretParams = SecretParams()) -> SecretModel:
-    """Maximise the conditional likelihood by Adagrad; batches of padded passages."""
+    """Maximise the conditional likelihood by Adagrad; batches of padded passages.
+
+    A step reads and changes the rows of its own features only. Passages whose labels were
+    all but certain when last seen (every probability right to ``certain``) have next to no
+    gradient and wait for the next epoch that takes them all, one in three.
+    """
     data = training_passages(texts, params)
     rng = np.random.default_rng(params.seed)
-    w_own = np.zeros((len(OFFSETS), params.buckets, 3), np.float32)
+    w_own = np.zeros((params.buckets, len(OFFSETS) * 3), np.float32)
     w_file = np.zeros((params.buckets, 3), np.float32)
     trans = np.zeros((3, 3), np.float32)
     trans[OUTSIDE, INSIDE] = -4
-    cache: dict[str, list[int]] = {}
-    width = 14
-    coded = []
-    for tokens, labels, doc in data:
-        rows = np.full((len(tokens), width), -1, np.int64)
-        for i, t in enumerate(tokens):
-            r = cache.get(t)
-            if r is None:
-                r = cache[t] = _rows(traits(t), params.buckets)[:width]
-            rows[i, : len(r)] = r
-        coded.append((rows, np.array(labels), np.array(_rows(doc, params.buckets))))
-    slots = [np.full_like(w, 1e-3) for w in (w_own, w_file, trans)]
-    order = np.arange(len(coded))
-    for _ in range(params.epochs):
-        rng.shuffle(order)
+    number: dict[str, int] = {"": 0}
+    files: dict[tuple[str, ...], int] = {}
+    coded = [(np.array([number.setdefault(t, len(number)) for t in tokens]), np.array(labels), files.setdefault(tuple(doc), len(files))) for tokens, labels, doc in data]
+    of_file = [_rows(list(f), params.buckets) for f in files]
+    held = np.unique(np.concatenate(of_file))
+    in_file = np.stack([np.bincount(np.searchsorted(held, f), minlength=len(held)) for f in of_file]).astype(np.float32)
+    flat, starts = feature_rows(list(number)[1:], params.buckets)  # token 0 has no features
+    ends = np.append(starts[1:], len(flat))
+    s_own, s_file, s_trans = (np.full_like(w, 1e-3) for w in (w_own, w_file, trans))
+
+    def step(w: np.ndarray, s: np.ndarray, rows, g: np.ndarray) -> None:
+        g = g + params.decay * w[rows]
+        s[rows] += g * g
+        w[rows] -= params.rate * g / np.sqrt(s[rows])
+
+    waits = np.zeros(len(coded), bool)
+    for epoch in range(params.epochs):
+        order = rng.permutation(len(coded) if epoch % 3 == 0 else np.flatnonzero(~waits))
         for at in range(0, len(order), 64):
             some = [coded[k] for k in order[at : at + 64]]
             n, size = len(some), max(len(c[1]) for c in some)
-            rows = np.full((n, size + 4, width), -1, np.int64)
+            file = np.array([c[2] for c in some])
+            ids = np.zeros((n, size + 4), np.int64)
             gold = np.full((n, size), OUTSIDE)
             mask = np.zeros((n, size), bool)
-            for i, (r, y, _) in enumerate(some):
-                rows[i, 2 : 2 + len(y)] = r
+            for i, (t, y, _) in enumerate(some):
+                ids[i, : len(t)] = t
                 gold[i, : len(y)] = y
                 mask[i, : len(y)] = True
-            emit = np.zeros((n, size, 3), np.float32)
-            used = []
-            for o, off in enumerate(OFFSETS):
-                part = rows[:, 2 + off : 2 + off + size]
-                ok = part >= 0
-                emit += (w_own[o][np.where(ok, part, 0)] * ok[..., None]).sum(2)
-                used.append((part, ok))
-            for i, (_, _, d) in enumerate(some):
-                emit[i] += w_file[d].sum(0)
+            uniq, where = np.unique(ids, return_inverse=True)
+            where = where.reshape(ids.shape)
+            real = uniq[uniq > 0] - 1
+            count = ends[real] - starts[real]
+            first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
+            rows = flat[np.repeat(starts[real] - first, count) + np.arange(count.sum())]
+            touched, back = np.unique(rows, return_inverse=True)
+            of_token = np.zeros((len(uniq), len(OFFSETS), 3), np.float32)
+            if len(real):
+                of_token[len(uniq) - len(real) :] = np.add.reduceat(w_own[rows], first, axis=0).reshape(-1, len(OFFSETS), 3)
+            emit = sum(of_token[where[:, o : o + size], o] for o in range(len(OFFSETS)))
+            emit += (in_file[file] @ w_file[held])[:, None]
             p_node, p_edge = _marginals(emit, trans, mask)
             err = p_node.copy()
             err[np.arange(n)[:, None], np.arange(size), gold] -= 1
-            err *= mask[..., None] / n
-            g_own = np.zeros_like(w_own)
-            for o, (part, ok) in enumerate(used):
-                i, j, k = np.nonzero(ok & mask[..., None])
-                np.add.at(g_own[o], part[i, j, k], err[i, j])
-            g_file = np.zeros_like(w_file)
-            for i, (_, _, d) in enumerate(some):
-                np.add.at(g_file, d, np.broadcast_to(err[i].sum(0), (len(d), 3)))
+            err *= mask[..., None]
+            waits[order[at : at + 64]] = np.abs(err).max((1, 2)) < params.certain
+            err = err.reshape(-1, 3) / n
+            g_token = np.stack([np.bincount(where[:, o : o + size].ravel(), err[:, y], len(uniq)) for o in range(len(OFFSETS)) for y in range(3)], 1)[len(uniq) - len(real) :]
+            if len(touched):
+                by_row = np.argsort(back, kind="stable")
+                cut = np.searchsorted(back[by_row], np.arange(len(touched)))
+                step(w_own, s_own, touched, np.add.reduceat(np.repeat(g_token.astype(np.float32), count, 0)[by_row], cut, axis=0))
+            in_use = in_file[file].any(0)
+            step(w_file, s_file, held[in_use], (in_file[file].T @ err.reshape(n, size, 3).sum(1))[in_use].astype(np.float32))
             g_trans = p_edge.copy()
             both = mask[:, 1:]
             np.add.at(g_trans, (gold[:, :-1][both], gold[:, 1:][both]), -1)
-            for w, g, s in zip((w_own, w_file, trans), (g_own, g_file, g_trans / n), slots):
-                g = g + params.decay * w
-                s += g * g
-                w -= params.rate * g / np.sqrt(s)
-    return SecretModel(params, w_own, w_file, trans)
+            step(trans, s_trans, slice(None), g_trans / n)
+    return SecretModel(params, np.ascontiguousarray(w_own.reshape(-1, len(OFFSETS), 3)), w_file, trans)
 
 
 def _marginals(emit: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label marginals of padded chains and the expected transition counts."""
+    """Label marginals of padded chains and the expected transition counts; scaled at each step."""
     n, size, _ = emit.shape
-    a, b = np.zeros((n, size, 3)), np.zeros((n, size, 3))
-    logsum = lambda x, ax: np.log(np.exp(x - x.max(ax, keepdims=True)).sum(ax)) + x.max(ax)
-    a[:, 0] = emit[:, 0]
+    own = np.exp((emit - emit.max(2, keepdims=True)).astype(float))
+    move = np.exp(trans.astype(float) - trans.max())
+    a, b = np.empty((n, size, 3)), np.ones((n, size, 3))
+    a[:, 0] = own[:, 0]
     for t in range(1, size):
-        step = logsum(a[:, t - 1, :, None] + trans[None], 1) + emit[:, t]
-        a[:, t] = np.where(mask[:, t, None], step, a[:, t - 1])
+        x = (a[:, t - 1] @ move) * own[:, t]
+        a[:, t] = x / x.sum(1, keepdims=True)
     for t in range(size - 2, -1, -1):
-        step = logsum(trans[None] + (emit[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-        b[:, t] = np.where(mask[:, t + 1, None], step, 0)
-    z = logsum(a[:, -1], 1)[:, None, None]
-    node = np.exp(np.minimum(a + b - z, 0))
-    edge = np.exp(np.minimum(a[:, :-1, :, None] + trans + (emit[:, 1:] + b[:, 1:])[:, :, None, :] - z[..., None], 0))
+        x = (own[:, t + 1] * b[:, t + 1]) @ move.T
+        b[:, t] = np.where(mask[:, t + 1, None], x / x.sum(1, keepdims=True), 1)
+    node = a * b
+    node /= node.sum(2, keepdims=True)
+    edge = a[:, :-1, :, None] * move * (own[:, 1:] * b[:, 1:])[:, :, None, :]
+    edge /= edge.sum((2, 3), keepdims=True)
     return node, (edge * mask[:, 1:, None, None]).sum((0, 1))
 
 
@@ -317,23 +356,35 @@ class Tagger:
         self.m, self.max_tokens = model, max_tokens
         self.known: dict[str, int] = {}
         self.weights = np.zeros((max_tokens + 1, len(OFFSETS), 3), np.float32)  # row 0 is padding
+        self.code = np.zeros(max_tokens + 1, bool)
+        self.files: dict[tuple[str, ...], np.ndarray] = {}
         rise = model.trans - model.trans[OUTSIDE, OUTSIDE]
         self.slack = max(0.0, float(rise[:, :OUTSIDE].max())) + max(0.0, float(rise[:OUTSIDE, OUTSIDE].max()))
 
     def _ids(self, tokens: list[str]) -> np.ndarray:
         known = self.known
-        fresh = [t for t in dict.fromkeys(tokens) if t not in known]
+        fresh = list(dict.fromkeys(t for t in tokens if t not in known))
         if len(known) + len(fresh) > self.max_tokens:
             known.clear()
             fresh = list(dict.fromkeys(tokens))
             if len(fresh) > self.max_tokens:
                 self.max_tokens = len(fresh)
                 self.weights = np.zeros((self.max_tokens + 1, len(OFFSETS), 3), np.float32)
-        for t in fresh:
-            k = known[t] = len(known) + 1
-            self.weights[k] = self.m.own[:, _rows(traits(t), self.m.params.buckets)[:14]].sum(1)
+                self.code = np.zeros(self.max_tokens + 1, bool)
+        if fresh:
+            base = len(known) + 1
+            known.update(zip(fresh, range(base, base + len(fresh))))
+            flat, starts = feature_rows(fresh, self.m.params.buckets)
+            self.weights[base : base + len(fresh)] = np.add.reduceat(self.m.own[flat], starts, axis=0)
+            self.code[base : base + len(fresh)] = [code_like(t) for t in fresh]
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
+    def _file(self, n: int, code: int) -> np.ndarray:
+        own = tuple(file_traits(n, code))
+        if own not in self.files:
+            self.files[own] = self.m.file[_rows(list(own), self.m.params.buckets)].sum(0)
+        return self.files[own]
+
     def emissions(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Emissions of all tokens, each text followed by two rows of padding, and the starts of the texts."""
         lengths = np.array([len(d) for d in docs])
@@ -351,8 +402,8 @@ class Tagger:
                 emit[:-off] += w[off:]
             else:
                 emit += w
-        buckets = self.m.params.buckets
-        files = np.array([self.m.file[_rows(file_traits(d), buckets)].sum(0) for d in docs], np.float32).reshape(-1, 3)
+        code = np.add.reduceat(self.code[flat].astype(np.int64), starts)  # padding is no code
+        files = np.array([self._file(n, c) for n, c in zip(lengths.tolist(), code.tolist())], np.float32).reshape(-1, 3)
         emit += np.repeat(files, lengths + 2, 0)
         return emit, starts
 
@@ -420,12 +471,12 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 def span_column(model: SecretModel, text: str = "text") -> Column:
     """Array of the secrets' character spans (0-based, end exclusive)."""
 
-    @pandas_udf(SPAN)
-    def secret_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf(SPAN)
+    def secret_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = Tagger(model)
         for batch in batches:
-            spans = tagger.spans([t if isinstance(t, str) else None for t in batch])
-            yield pd.Series([[{"start": a, "end": b} for a, b in s] for s in spans], dtype=object)
+            spans = [s for _, texts in text_blocks(batch) for s in tagger.spans(texts)]
+            yield pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
     return secret_spans(F.col(text))
 
@@ -433,25 +484,25 @@ def span_column(model: SecretModel, text: str = "text") -> Column:
 def redact_column(model: SecretModel, text: str = "text") -> Column:
     """The text with every secret replaced by a mark; null stays null."""
 
-    @pandas_udf("string")
-    def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("string")
+    def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = Tagger(model)
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch]
-            yield pd.Series([redact(t, s) for t, s in zip(texts, tagger.spans(texts))], dtype=object)
+            parts = [pa.array([redact(t, s) for t, s in zip(texts, tagger.spans(texts))], batch.type) for _, texts in text_blocks(batch)]
+            yield pa.concat_arrays(parts) if parts else batch
 
     return redacted(F.col(text))
 
 
 def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
     """(doc_id, start, end): one row a secret."""
-    found = small_batches(docs).select("doc_id", F.explode(span_column(model)).alias("span"))
+    found = docs.select("doc_id", F.explode(span_column(model)).alias("span"))
     return found.select("doc_id", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 
 def mask_secrets(docs: DataFrame, model: SecretModel) -> DataFrame:
     """The documents with secrets masked in ``text``; ``n_chars`` follows where there is one."""
-    masked = small_batches(docs).withColumn("text", redact_column(model))
+    masked = docs.withColumn("text", redact_column(model))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return masked.select(docs.columns)

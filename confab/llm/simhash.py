@@ -14,27 +14,29 @@ pair and core; the shuffle carries 24 bytes a fingerprint and block. Equal finge
 are compared once.
 
 Edge cases: null ids and null or blank texts are in no group; texts without word
-characters are hashed whole; rows that share an id are one document (they stay or go
-together); ties keep the least id; no documents give no rows; other columns are
-neither read nor lost.
+characters are hashed whole; very long texts are fingerprinted whole, in pieces; a bit
+whose hashes tie is 0; rows that share an id are one document (they stay or go
+together); of a group the least id stays; ids are integers, or texts of integers, and
+any other id is an error; no documents give no rows; other columns, whatever their
+names, are neither read nor lost.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from confab.llm.texts import small_batches
+from confab.llm.texts import text_blocks
 from confab.plans.components import connected_components
 from confab.plans.lineage import cut_lineage
 from confab.sources.tables import table
@@ -65,11 +67,11 @@ def fingerprint(text: str | None) -> tuple[int, int] | None:
     return int(halves[0]), int(halves[1])
 
 
-@pandas_udf(T.StructType([T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType())]))
-def fingerprint_column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@arrow_udf(T.StructType([T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType())]))
+def fingerprint_column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        found = [fingerprint(t if isinstance(t, str) else None) or (None, None) for t in batch]
-        yield pd.DataFrame({"h0": pd.array([f[0] for f in found], "Int64"), "h1": pd.array([f[1] for f in found], "Int64")})
+        found = [fingerprint(t) or (None, None) for _, texts in text_blocks(batch) for t in texts]
+        yield pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["h0", "h1"])
 
 
 def link(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -173,16 +175,14 @@ def near_edges(prints: DataFrame, params: SimHashParams = SimHashParams()) -> Da
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     """(doc_id, duplicate_of): every document that is not the least of its group, with the one that is."""
-    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text").alias("h"))
-    prints = own.where("doc_id is not null and h.h0 is not null").select("doc_id", "h.h0", "h.h1").distinct()
-    same = Window.partitionBy("h0", "h1")
-    prints = cut_lineage(prints.withColumn("node", F.min("doc_id").over(same)), "prints")
-    nodes = prints.where("doc_id = node").select("node", "h0", "h1")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text").alias("h"))
+    prints = cut_lineage(own.where("doc_id is not null and h.h0 is not null").select("doc_id", "h.h0", "h.h1"), "prints")
+    nodes = cut_lineage(prints.groupBy("h0", "h1").agg(F.min("doc_id").alias("node")), "nodes")  # copies fold before the shuffle
+    # a document that is the node of two fingerprints links what is near either of them
     roots = connected_components(near_edges(nodes, params))
+    least = nodes.join(roots, "node", "left").select("h0", "h1", F.coalesce("root", "node").alias("duplicate_of"))
     return (
-        prints.select("doc_id", "node")
-        .join(roots, "node", "left")
-        .select("doc_id", F.coalesce("root", "node").alias("duplicate_of"))
+        prints.join(least, ["h0", "h1"])  # one row a fingerprint on one side: a hot one splits on the other
         .groupBy("doc_id")
         .agg(F.min("duplicate_of").alias("duplicate_of"))
         .where("doc_id <> duplicate_of")
@@ -191,8 +191,9 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
 
 def drop_near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     """The documents with one left of each group, with all their columns."""
-    gone = near_duplicates(docs, params).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    own = f"gone_{uuid.uuid4().hex}"  # no column of the documents
+    gone = near_duplicates(docs, params).select(F.col("doc_id").alias(own))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[own], "left_anti")
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +23,21 @@ def blocks(texts: list[str | None], max_chars: int = 1 << 20) -> Iterator[tuple[
         yield start, len(texts)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def text_blocks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of runs of rows holding about ``max_bytes`` each, one row at least.
 
-
-def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """``df``, with the session's Arrow batches cut to ``rows`` rows unless it has set a size itself.
-
-    Texts are long: at Spark's default of 10,000 rows a batch, a Python worker holds tens
-    of megabytes twice over. Only a session that still has the default is changed.
+    An Arrow batch holds as many rows as the session says, however long their texts are;
+    only a run of them at a time is turned into Python strings.
     """
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_ROWS) == "10000":
-        conf.set(BATCH_ROWS, str(rows))
-    return df
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > max_bytes:
+            yield start, column.slice(start, k - start).to_pylist()
+            start, total = k, 0
+        total += n
+    if sizes:
+        yield start, column.slice(start).to_pylist()
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

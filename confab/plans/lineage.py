@@ -8,8 +8,10 @@ executor-local storage only: it is written as Parquet under the folder named by
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     Read from the session (``spark.checkpoint.dir``, or the context's own
     checkpoint folder). Only where neither is set, as in tests, a temporary
-    folder is made and set.
+    folder is made and set; a master other than ``local`` has to name one, as its
+    executors share no local folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -29,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="confab-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -43,6 +48,23 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that :func:`cut_lineage` wrote within it, except those behind the frames put on its list.
+
+    For work whose result is collected or written before the end: what it read is of no further use.
+    """
+    before, kept = {path for _, path in _written}, []
+    try:
+        yield kept
+    finally:
+        files = [f for df in kept for f in df.inputFiles()]
+        for entry in [e for e in _written if e[1] not in before]:
+            if not any(e in f for f in files for e in [entry[1].rsplit("/", 1)[1]]):
+                _delete(*entry)
+                _written.remove(entry)
+
+
 def release(spark: SparkSession, df: DataFrame) -> None:
     """Delete the table behind a frame returned by :func:`cut_lineage`."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:

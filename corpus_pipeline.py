@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's documents. Every stage works on all that
 its predecessor kept; the last returns token ids, the others the columns of documents.
+
+Edge cases, in every stage: rows with null ids, null, empty or very long texts and
+repeated rows pass through unless the stage's own rule drops them (a null id is never a
+near-duplicate; a null text is never toxic, leaked or masked and has null token ids); of
+near copies the least id stays, rows that share it included; empty tables give empty
+results; other columns, whatever their names, are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from confab.llm import bpe, decontaminate, secrets, simhash, toxicity
-from confab.plans.lineage import cut_lineage
+from confab.plans.lineage import cut_lineage, release, temporary
 from confab.sources.tables import table
 
 
@@ -55,6 +61,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with temporary() as kept:  # what a stage wrote for itself goes once its result is written
+            done = cut_lineage(stage(spark, docs, sf_dir), name)
+            kept.append(done)
+        if k:
+            release(spark, docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
