@@ -10,12 +10,15 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,11 +46,30 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/confab-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_go(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of a plan once it has run: what is written isn't computed again.
+
+    The session gets its own setting back; where another thread is at it, this one goes without.
+    """
+    if not _writing.acquire(blocking=False):
+        yield
+        return
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    try:
+        spark.conf.set(_DROP_SHUFFLES, "true")
+        yield
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+        _writing.release()
+
+
 @contextlib.contextmanager
 def temporary() -> Iterator[list[DataFrame]]:
     """Deletes, at its end, the tables that :func:`cut_lineage` wrote within it, except those behind the frames put on its list.
