@@ -64,6 +64,36 @@ def test_other_least_length(spark):
     assert found == brute(docs, 20)
 
 
+@pytest.mark.parametrize("least, block", [(21, 1 << 20), (50, 40), (2, 100)])
+def test_odd_lengths_and_small_blocks(spark, least, block):
+    docs = planted(4)[:30] if least > 2 else [(k, " ".join(messy.words(random.Random(k % 3), 9))) for k in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in X.repeated_spans(frame, X.SubstringParams(least, block)).collect()) == brute(docs, least)
+
+
+def test_length_below_two_is_an_error(spark):
+    with pytest.raises(ValueError):
+        X.repeated_spans(messy.docs(spark), X.SubstringParams(min_words=1))
+
+
+def test_kinds():
+    h, g = np.array([5, 1, 5, 7, 5, 1], np.uint64), np.array([0, 1, 0, 0, 0, 2], np.uint32)
+    assert X.kinds(h).tolist() == [1, 1, 2, 0, 2, 2] and X.kinds(h, g).tolist() == [1, 0, 2, 0, 2, 0] and X.kinds(h[:0]).tolist() == []
+
+
+def test_passage_of_most_documents_is_shuffled_once_a_task(spark):
+    rng = random.Random(8)
+    passage = messy.words(rng, 60)
+    docs = [(k, " ".join([*messy.words(rng, 29), f"a{k}", *(passage if k % 10 else []), f"b{k}", *messy.words(rng, 29)])) for k in range(2000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    own = frame.select("doc_id", X.F.xxhash64("text").alias("t0"), X.F.lit(0).cast("long").alias("t1"), "text")
+    found = own.mapInArrow(X._first_pass(X.SubstringParams()), "doc_id long, t0 long, t1 long, words int, at array<int>, h array<long>, kind array<tinyint>")
+    rows = found.select(X.F.explode(X.F.arrays_zip("h", "kind")).alias("a")).select("a.h", "a.kind")
+    assert rows.groupBy("h").count().agg(X.F.max("count")).first()[0] == 1800
+    assert rows.where("kind < 2").groupBy("h").count().agg(X.F.max("count")).first()[0] <= 4
+    assert {tuple(r)[:3] for r in X.repeated_spans(frame).collect()} == {(k, 30, 90) for k in range(2000) if k % 10}
+
+
 def test_window_hashes_depend_on_the_words_alone():
     rng = np.random.default_rng(0)
     w = rng.integers(0, 2**63, 100).astype(np.uint64)
