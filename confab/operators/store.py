@@ -394,8 +394,19 @@ def toggle_preset(enabled: DataFrame, presets: DataFrame, preset: str, on: bool)
 # Mutations, as rewrites
 
 
-def upsert(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("created_at", "created_by", "status")) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same id; columns in ``keep`` stay from the old row if it has them."""
+def latest_rows(df: DataFrame, key: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: the last by ``order``, of equals the greatest by all columns; nulls come first."""
+    by = [F.col(c).desc_nulls_last() for c in dict.fromkeys([*[c for c in order if c in df.columns], *df.columns])]
+    ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*by)))
+    return ranked.where("_nth = 1").drop("_nth")
+
+
+def upsert(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("created_at", "created_by", "status"), order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with the same id; columns in ``keep`` stay from the old row if it has them.
+
+    Of rows of ``new`` that share an id the last by ``order`` counts, see :func:`latest_rows`; ids of ``old`` are its key.
+    """
+    new = latest_rows(new, ["id"], order)
     held = [c for c in keep if c in old.columns and c in new.columns]
     first = old.select("id", *[F.col(c).alias(f"_{c}") for c in held])
     columns = [F.coalesce(f"_{c}", c).alias(c) if c in held else F.col(c) for c in new.columns]
@@ -408,17 +419,22 @@ def replace_children(children: DataFrame, new: DataFrame, parent: str) -> DataFr
     return children.join(new.select(parent).distinct(), parent, "left_anti").select(children.columns).unionByName(new.select(children.columns))
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Adds the rows whose key is not there yet, each key once."""
-    fresh = new.dropDuplicates(key).join(old.select(key), key, "left_anti").select(old.columns)
+def insert_ignore(old: DataFrame, new: DataFrame, key: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the rows whose key is not there yet, each key once: its last row by ``order``, see :func:`latest_rows`."""
+    fresh = latest_rows(new, key, order).join(old.select(key), key, "left_anti").select(old.columns)
     return old.unionByName(fresh)
 
 
-def patch(old: DataFrame, changes: DataFrame, allowed: list[str], version: str | None = None) -> DataFrame:
-    """Sparse update: non-null changes to allowed columns win; others are ignored. ``version`` counts changed rows."""
+def patch(old: DataFrame, changes: DataFrame, allowed: list[str], version: str | None = None, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """Sparse update: non-null changes to allowed columns win; others are ignored. ``version`` counts the changes made to a row.
+
+    Changes that share an id are made in turn by ``order``, then by all columns: each column ends with its last value.
+    """
     columns = [c for c in allowed if c in changes.columns]
-    renamed = changes.select("id", *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
-    out = [F.coalesce(f"_{c}", c).alias(c) if c in columns else (F.col(c) + F.when(F.col("_hit"), 1).otherwise(0)).alias(c) if c == version else F.col(c) for c in old.columns]
+    turn = F.struct(*dict.fromkeys([*[c for c in order if c in changes.columns], *changes.columns]))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), turn)).alias(f"_{c}") for c in columns]
+    renamed = changes.groupBy("id").agg(*last, F.count("*").alias("_hits"))
+    out = [F.coalesce(f"_{c}", c).alias(c) if c in columns else (F.col(c) + F.coalesce("_hits", F.lit(0))).cast(old.schema[c].dataType).alias(c) if c == version else F.col(c) for c in old.columns]
     return old.join(renamed, "id", "left").select(*out)
 
 

@@ -430,14 +430,13 @@ def render_tree(diagram: dict | None) -> str:
 
 def tree_paths(nodes: DataFrame, most: int = 64) -> DataFrame:
     """(diagram, id, depth, path) of node tables by a recursive query; ``path`` sorts depth first."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("_diagram_nodes")
-    return spark.sql(
+    return nodes.sparkSession.sql(
         f"""WITH RECURSIVE walk(diagram, id, depth, path) MAX RECURSION LEVEL {most} AS (
-          SELECT diagram, id, 0, CAST(lpad(CAST(pos AS STRING), 6, '0') AS STRING) FROM _diagram_nodes WHERE parent IS NULL
+          SELECT diagram, id, 0, CAST(lpad(CAST(pos AS STRING), 6, '0') AS STRING) FROM {{nodes}} WHERE parent IS NULL
           UNION ALL SELECT n.diagram, n.id, w.depth + 1, CAST(concat(w.path, '/', lpad(CAST(n.pos AS STRING), 6, '0')) AS STRING)
-          FROM walk w JOIN _diagram_nodes n ON n.diagram = w.diagram AND n.parent = w.id)
-        SELECT diagram, id, depth, path FROM walk"""
+          FROM walk w JOIN {{nodes}} n ON n.diagram = w.diagram AND n.parent = w.id)
+        SELECT diagram, id, depth, path FROM walk""",
+        nodes=nodes.select("diagram", "id", "parent", "pos"),
     )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from confab.plans.folds import ordered_fold
+from confab.plans.folds import running_fold
 from confab.plans.ranges import binned_overlap_join, merge_islands, overlap
 
 BIN_MS = 60_000
@@ -172,18 +173,19 @@ def plan_chunks(regions: DataFrame, params: ChunkParams = ChunkParams()) -> Data
     p = params.checked()
     inside = regions.withColumn("start_ms", F.greatest(F.lit(0), F.col("start_ms"))).withColumn("end_ms", F.least("end_ms", "duration_ms")).where("end_ms > start_ms")
 
-    def fold(rows: list[tuple]) -> list[tuple]:
+    def fold(rows: Iterator[tuple]) -> list[tuple]:
         spans: dict[int, list[tuple[int, int]]] = {}
-        for island, start, end, _ in rows:
+        total = None
+        for island, start, end, duration in rows:
+            total = duration if total is None else total
             spans.setdefault(island, []).append((start, end))
         cuts = [cut for items in spans.values() for cut in split_span(items[0][0], items[-1][1], items, p)]
-        total = rows[0][3]
         return [(k, int(a), int(b), max(0, int(a) - p.overlap), min(total, int(b) + p.overlap)) for k, (a, b) in enumerate(cuts)]
 
     order = Window.partitionBy("record").orderBy("start_ms", "end_ms")
     gap = F.col("start_ms") - F.lag("end_ms").over(order)
     numbered = inside.withColumn("_n", F.when(gap >= p.skip_silence, 1).otherwise(0)).withColumn("island", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return ordered_fold(numbered, "record", ["island", "start_ms", "end_ms"], ["island", "start_ms", "end_ms", "duration_ms"], fold, "chunk long, core_start_ms long, core_end_ms long, audio_start_ms long, audio_end_ms long")
+    return running_fold(numbered, "record", ["island", "start_ms", "end_ms"], ["island", "start_ms", "end_ms", "duration_ms"], fold, "chunk long, core_start_ms long, core_end_ms long, audio_start_ms long, audio_end_ms long")
 
 
 def chunk_statistics(chunks: DataFrame, durations: DataFrame) -> DataFrame:
@@ -212,10 +214,10 @@ def smooth(turns: list[tuple], gap: int) -> list[list]:
 def smooth_timeline(timeline: DataFrame, gap: int = 500) -> DataFrame:
     """Fold of :func:`smooth` a record; the outcome of each turn depends on those before."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
+    def fold(rows: Iterator[tuple]) -> list[tuple]:
         return [(k, who, start, end, sure) for k, (start, end, who, sure) in enumerate(smooth(rows, gap))]
 
-    return ordered_fold(timeline, "record", ["start_ms", "end_ms", "speaker"], ["start_ms", "end_ms", "speaker", "confidence"], fold, "turn long, speaker string, start_ms long, end_ms long, confidence long")
+    return running_fold(timeline, "record", ["start_ms", "end_ms", "speaker"], ["start_ms", "end_ms", "speaker", "confidence"], fold, "turn long, speaker string, start_ms long, end_ms long, confidence long")
 
 
 def pack(lengths: list[int], limit: int) -> list[int]:
@@ -230,19 +232,17 @@ def pack(lengths: list[int], limit: int) -> list[int]:
 
 
 def pack_segments(segments: DataFrame, limit: int = 8000, key: str = "record", order: str = "idx", text: str = "text") -> DataFrame:
-    """(key, order, chunk, chars): greedy packing as a fold over an array, all in the JVM."""
-    items = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length(text).alias("n")))).alias("items"))
-    zero = F.struct(F.lit(0).alias("bin"), F.lit(0).alias("size"), F.array().cast("array<struct<o:bigint,n:int,bin:int>>").alias("out"))
+    """(key, order, chunk, chars): greedy packing as an ordered fold that keeps a running size; a null text counts nothing."""
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        bin_ = size = 0
+        for k, n in rows:
+            if size > 0 and n is not None and size + n > limit:
+                bin_, size = bin_ + 1, 0
+            size += n or 0
+            yield k, bin_, n
 
-    def step(acc, x):
-        full = (F.size(acc["out"]) > 0) & (acc["size"] > 0) & (acc["size"] + x["n"] > limit)
-        bin_ = F.when(full, acc["bin"] + 1).otherwise(acc["bin"])
-        size = F.when(full, x["n"]).otherwise(acc["size"] + x["n"])
-        row = F.struct(x["o"].cast("bigint").alias("o"), x["n"].alias("n"), bin_.alias("bin"))
-        return F.struct(bin_.alias("bin"), size.alias("size"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    packed = items.select(key, F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("x"))
-    return packed.select(key, F.col("x.o").alias(order), F.col("x.bin").cast("bigint").alias("chunk"), F.col("x.n").cast("bigint").alias("chars"))
+    items = segments.select(key, F.col(order).cast("bigint").alias("o"), F.length(text).cast("bigint").alias("n"))
+    return running_fold(items, key, ["o"], ["o", "n"], fold, f"{order} long, chunk long, chars long")
 
 
 def boundary_cut(previous: str | None, current: str | None) -> str:
@@ -257,14 +257,13 @@ def boundary_cut(previous: str | None, current: str | None) -> str:
 def deduplicate_adjacent(segments: DataFrame) -> DataFrame:
     """(record, idx, text): boundary duplicates cut; each cut sees the text before as already cut."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        out, last = [], None
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
         for idx, text in rows:
             last = boundary_cut(last, text) if last is not None else text or ""
-            out.append((idx, last))
-        return out
+            yield idx, last
 
-    return ordered_fold(segments, "record", ["idx"], ["idx", "text"], fold, f"idx {segments.schema['idx'].dataType.simpleString()}, text string")
+    return running_fold(segments, "record", ["idx"], ["idx", "text"], fold, f"idx {segments.schema['idx'].dataType.simpleString()}, text string")
 
 
 PUNCTUATION = "，。！？、；：,.!?;:"
@@ -320,10 +319,10 @@ def assemble_snapshots(rows: list[tuple[float, str]], gap: float = 5.0) -> list[
 def snapshot_timeline(snapshots: DataFrame) -> DataFrame:
     """(record, piece, start_sec, end_sec, text) from (record, second, text) snapshots, a group a record."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
+    def fold(rows: Iterator[tuple]) -> list[tuple]:
         return [(k, *piece) for k, piece in enumerate(assemble_snapshots([(second, text or "") for second, text in rows]))]
 
-    return ordered_fold(snapshots, "record", ["second"], ["second", "text"], fold, "piece long, start_sec double, end_sec double, text string")
+    return running_fold(snapshots, "record", ["second"], ["second", "text"], fold, "piece long, start_sec double, end_sec double, text string")
 
 
 def retains_text(base, candidate, share: float = 0.7):

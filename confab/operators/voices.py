@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MAX_BROADCAST_VOICES = 50_000
 
@@ -27,24 +33,58 @@ def normalized(a: Column) -> Column:
 def verify_speaker(probes: DataFrame, registered: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(vec_id, speaker, similarity): most similar registered voice; none where it isn't above the threshold.
 
-    Registered voices are few; their number is checked before they are broadcast. More of
+    Registered voices are few; their number is checked before they travel with the tasks as
+    a matrix, and a batch of probes is one product with it: no join, shuffle or sort. More of
     them are cut into slices by hash, joined slice by slice key, and the best of the
-    slices wins, so no side is ever sent whole.
+    slices wins, so no side is ever sent whole. Of equally similar voices the least speaker
+    wins; vectors with a null, or as long as no voice, are like none.
     """
     voices = registered.select(F.col("speaker"), F.col("embedding").alias("_ref"))
     count = voices.count()
     if count <= MAX_BROADCAST_VOICES:
-        pairs = probes.crossJoin(F.broadcast(voices))
-    else:
-        slices = -(-count // MAX_BROADCAST_VOICES)
-        left = probes.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        pairs = left.join(voices.withColumn("_slice", F.pmod(F.xxhash64("speaker"), F.lit(slices)).cast("int")), "_slice")
+        return _nearest(probes, voices, threshold)
+    slices = -(-count // MAX_BROADCAST_VOICES)
+    left = probes.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    pairs = left.join(voices.withColumn("_slice", F.pmod(F.xxhash64("speaker"), F.lit(slices)).cast("int")), "_slice")
     scored = pairs.select("vec_id", "speaker", dot(F.col("embedding"), F.col("_ref")).alias("sim"))
     best = scored.groupBy("vec_id").agg(F.min(F.struct(-F.col("sim"), "speaker")).alias("b"))
     sim = F.greatest(-F.col("b.col1"), F.lit(0.0))
     return best.select("vec_id", F.when(sim > threshold, F.col("b.speaker")).alias("speaker"), sim.alias("similarity"))
 
 
+def _nearest(probes: DataFrame, voices: DataFrame, threshold: float) -> DataFrame:
+    """A row a probe; ``voices`` (speaker, _ref) fit in a task."""
+    kind = T.StructType([probes.schema["vec_id"], T.StructField("speaker", voices.schema["speaker"].dataType), T.StructField("similarity", T.DoubleType())])
+    arrow = to_arrow_schema(kind)
+    held: dict[int, tuple[list, list]] = {}
+    for speaker, ref in voices.where("_ref is not null and speaker is not null").orderBy("speaker").collect():
+        names, refs = held.setdefault(len(ref), ([], []))
+        names.append(speaker)
+        refs.append(ref)
+    known = {n: (names, np.array(refs, float)) for n, (names, refs) in held.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            speakers: list = [None] * len(vectors)
+            best = np.zeros(len(vectors))
+            for n, (names, refs) in known.items():
+                own = np.flatnonzero(lengths == n)
+                for at in range(0, len(own), max(1, (1 << 22) // len(names))):
+                    some = own[at : at + max(1, (1 << 22) // len(names))]
+                    flat = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False)
+                    sim = np.nan_to_num(flat.astype(float).reshape(len(some), n) @ refs.T, nan=-np.inf)
+                    top = sim.argmax(1)
+                    best[some] = np.maximum(sim[np.arange(len(some)), top], 0)
+                    for row, k in zip(some.tolist(), top.tolist()):
+                        if best[row] > threshold:
+                            speakers[row] = names[k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(speakers, arrow.field(1).type), pa.array(best)], schema=arrow)
+
+    return probes.select("vec_id", "embedding").mapInArrow(run, kind)
+
+
 def average_linkage(unit: np.ndarray, cut: float | None = None, clusters: int | None = None) -> np.ndarray:
     """Cluster of each unit vector by average linkage on cosine distance.
 

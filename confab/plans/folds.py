@@ -3,40 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+ROWS = 10_000  # of an outgoing batch
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], fields: list[str], fold: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+
+def running_fold(df: DataFrame, key: str, order: list[str], fields: list[str], fold: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """(key, ...) rows that ``fold`` makes of each key's rows.
 
-    ``fold`` gets the group's rows as tuples of ``fields``, sorted by ``order`` and then by
-    the other fields, nulls first, and gives rows of ``schema``, which leaves the key out.
-    Rows are gathered and sorted in the JVM and many groups travel in one batch, so a
-    group costs microseconds, not a DataFrame of its own; a group must fit in memory, as
-    with any grouped map.
+    ``fold`` gets the group's rows, one after the other, as tuples of ``fields``, sorted by
+    ``order`` and then by the other fields, nulls first, and gives rows of ``schema``, which
+    leaves the key out. Rows are shuffled and sorted by the JVM, which spills, and pass
+    through Python a batch at a time: of a long group no more is held than ``fold`` keeps.
     """
-    sorted_fields = [*order, *[f for f in fields if f not in order]]
-    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*sorted_fields))).alias("_rows"))
+    names = list(dict.fromkeys([key, *order, *fields]))
+    rows = df.select(*names).repartition(key).sortWithinPartitions(*names)
     kind = df.select(key).limit(0).join(df.sparkSession.createDataFrame([], schema)).schema
     arrow = to_arrow_schema(kind)
-    names = list(fields)
+    where = [names.index(f) for f in fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            keys, lists = batch.column(0).to_pylist(), batch.column(1)
-            flat = lists.flatten()
-            rows = list(zip(*[flat.field(f).to_pylist() for f in names]))
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            out, start = [], 0
-            for k, end in zip(keys, ends.tolist()):
-                out += [(k, *row) for row in fold(rows[start:end])]
-                start = end
-            columns = list(zip(*out)) if out else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    return grouped.mapInArrow(run, kind)
+            columns = [c.to_pylist() for c in batch.columns]
+            yield from zip(columns[0], zip(*[columns[k] for k in where]))
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for k, group in groupby(keyed(batches), key=itemgetter(0)):
+            for row in fold(row for _, row in group):
+                out.append((k, *row))
+                if len(out) >= ROWS:
+                    yield packed(out)
+                    out = []
+        if out:
+            yield packed(out)
+
+    return rows.mapInArrow(run, kind)
+
+
+def ordered_fold(df: DataFrame, key: str, order: list[str], fields: list[str], fold: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """:func:`running_fold` for a ``fold`` that has to see its group as a list, which must then fit in memory."""
+    return running_fold(df, key, order, fields, lambda rows: fold(list(rows)), schema)

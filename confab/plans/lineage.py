@@ -35,7 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    master = spark.conf.get("spark.master", None) or "local"
+    if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="confab-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)

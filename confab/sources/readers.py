@@ -77,14 +77,23 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(F.col("audio").startswith("/"), F.col("audio")).otherwise(F.concat(F.lit(base + "/"), F.col("audio"))).alias("audio"), "reference", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
-def read_cuts(spark: SparkSession, sources: dict[str, str], seed: int = 0) -> DataFrame:
-    """Manifests of several corpora as one, shuffled so that all mix by size; gzip files are one task each."""
+def read_cuts(spark: SparkSession, sources: dict[str, str], seed: int = 0, weights: dict[str, float] | None = None) -> DataFrame:
+    """Manifests of several corpora as one, mixed; gzip files are one task each.
+
+    Rows are spread by hash, so every partition holds all corpora in proportion, and each
+    partition is put in random order by itself: no global sort. A corpus of twice the weight
+    (1 unless named) is drawn from twice as often while it lasts.
+    """
     kind = "id string, duration double, num_frames long, supervisions array<struct<text:string,speaker:string>>"
     out = None
     for name, path in sources.items():
         part = spark.read.schema(kind).json(path).withColumn("source", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out.orderBy(F.rand(seed))
+    weight = F.lit(1.0)
+    for name, value in (weights or {}).items():
+        weight = F.when(F.col("source") == name, float(value)).otherwise(weight)
+    spread = out.repartition(F.xxhash64(F.lit(seed), "source", "id"))
+    return spread.withColumn("_turn", -F.log1p(-F.rand(seed)) / weight).sortWithinPartitions("_turn").drop("_turn")
 
 
 MAGIC = b"DTP2"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from confab.plans.folds import ordered_fold
+from confab.plans.folds import running_fold
 from confab.streaming import machines as M
 
 EVENTS = "seq long, us long, event string, text string"
@@ -40,15 +40,26 @@ def _session_rows(state: M.SessionState, rows: Iterable[tuple], p: M.SessionPara
     return out
 
 
+def _each(state: Callable, rows: Callable, params) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Fold that takes a stream's rows one by one through a machine of its own."""
+
+    def fold(group: Iterator[tuple]) -> Iterator[tuple]:
+        own = state()
+        for row in group:
+            yield from rows(own, [row], params)
+
+    return fold
+
+
 def energy_vad(frames: DataFrame, params: M.VadParams = M.VadParams()) -> DataFrame:
     """Batch form over (stream, seq, rms, samples): a fold a stream in order of sequence."""
     rows = frames.select(F.col("stream").cast("string").alias("stream"), *VAD_FIELDS)
-    return ordered_fold(rows, "stream", ["seq"], VAD_FIELDS, lambda group: _vad_rows(M.VadState(), group, params), VAD_ROWS)
+    return running_fold(rows, "stream", ["seq"], VAD_FIELDS, _each(M.VadState, _vad_rows, params), VAD_ROWS)
 
 
 def live_sessions(frames: DataFrame, params: M.SessionParams = M.SessionParams()) -> DataFrame:
     """Batch form over (stream, seq, us, rms, samples, text, end): events in order of arrival."""
-    return ordered_fold(_session_columns(frames), "stream", ["us", "seq"], SESSION_FIELDS, lambda group: _session_rows(M.SessionState(), group, params), EVENTS)
+    return running_fold(_session_columns(frames), "stream", ["us", "seq"], SESSION_FIELDS, _each(M.SessionState, _session_rows, params), EVENTS)
 
 
 def _session_columns(frames: DataFrame) -> DataFrame:
@@ -130,15 +141,14 @@ def canonical_text(results: DataFrame) -> DataFrame:
 def legal_transitions(events: DataFrame) -> DataFrame:
     """Controller events (client, us, event, token) with ``taken``; stale tokens and illegal steps are not."""
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        state, out = ("idle", -1), []
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        state = ("idle", -1)
         for us, event, token in rows:
             state, taken = M.microphone_step(state, event, int(token))
-            out.append((us, event, token, taken))
-        return out
+            yield us, event, token, taken
 
     kinds = {c: events.schema[c].dataType.simpleString() for c in ("us", "event", "token")}
-    return ordered_fold(events, "client", ["us", "event", "token"], ["us", "event", "token"], fold, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", taken boolean")
+    return running_fold(events, "client", ["us", "event", "token"], ["us", "event", "token"], fold, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", taken boolean")
 
 
 def coalesced_reloads(requests: DataFrame, busy_us: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from confab.plans.components import connected_components
@@ -89,6 +90,36 @@ def test_the_folder_is_the_sessions_own_where_it_has_one():
     assert shared_dir(fresh).startswith("file:///") and shared_dir(fresh) == fresh.made
 
 
+def test_a_cluster_has_to_name_its_folder():
+    far = _Session(None, None)
+    far.conf["spark.master"] = "spark://host:7077"
+    with pytest.raises(ValueError):
+        shared_dir(far)
+
+
+def test_running_fold_reads_a_long_group_in_batches(spark):
+    from confab.plans.folds import running_fold
+
+    frame = spark.range(45_000).selectExpr("id % 2 as k", "id as o")
+
+    def fold(rows):
+        total = 0
+        for (o,) in rows:
+            total += o
+            yield o, total
+
+    found = running_fold(frame, "k", ["o"], ["o"], fold, "o long, total long")
+    assert found.count() == 45_000 and found.where("o = 44998").first()["total"] == sum(range(0, 45_000, 2))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_written_tables_leave_no_shuffle_files_and_the_setting(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    cut = cut_lineage(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "t")
+    assert cut.count() == 7 and spark.conf.get(key, None) == before
+
+
 def test_ordered_fold(spark):
     from confab.plans.folds import ordered_fold
 

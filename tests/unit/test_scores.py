@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -148,3 +150,30 @@ def test_verification(spark, monkeypatch):
     for most in (50_000, 1):
         monkeypatch.setattr(W, "MAX_BROADCAST_VOICES", most)
         assert {r["vec_id"]: (r["speaker"], round(r["similarity"], 6)) for r in W.verify_speaker(probes, voices).collect()} == want
+
+
+def test_polyphase_equals_filtering_at_the_raised_rate():
+    rng = np.random.default_rng(3)
+    for rate, to, n in ((44_100, 16_000, 700), (8_000, 16_000, 301), (48_000, 16_000, 5), (11_025, 16_000, 64), (44_100, 16_000, 0)):
+        x, g = rng.normal(size=n), np.gcd(rate, to)
+        up, down = to // g, rate // g
+        width = 16 * max(up, down)
+        t = np.arange(-width, width + 1) / max(up, down)
+        taps = np.sinc(t) * np.kaiser(len(t), 8.0) * up / max(up, down)
+        spread = np.zeros(n * up)
+        spread[::up] = x
+        want = np.convolve(spread, taps)[width : width + len(spread)][::down] if n else spread
+        assert np.allclose(A.resample_polyphase(x, rate, to), want, atol=1e-5)
+    began = time.time()
+    assert len(A.resample_polyphase(rng.normal(size=44_100 * 60), 44_100, 16_000)) == 960_000
+    assert time.time() - began < 5
+
+
+def test_verify_speaker_takes_messy_vectors(spark):
+    kind = "vec_id int, embedding array<float>"
+    probes = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0]), (5, [None, 1.0]), (6, [0.0, -1.0])], kind)
+    voices = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", None), (None, [0.0, -1.0])], "speaker string, embedding array<float>")
+    found = {r["vec_id"]: (r["speaker"], r["similarity"]) for r in W.verify_speaker(probes, voices).collect()}
+    assert found == {1: ("a", 1.0), **{k: (None, 0.0) for k in range(2, 7)}}
+    assert W.verify_speaker(probes, voices.limit(0)).where("speaker is not null").count() == 0
+    assert "Exchange" not in W.verify_speaker(probes, voices)._jdf.queryExecution().executedPlan().toString()

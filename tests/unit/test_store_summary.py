@@ -15,6 +15,18 @@ def test_upsert_keeps_creation_and_status(spark):
     assert sorted(map(tuple, S.upsert(old, new).collect())) == [(1, "A", "t0", "draft"), (2, "b", "t0", "done"), (3, "c", "t9", "completed")]
 
 
+def test_repeated_ids_count_once(spark):
+    kind = "id int, title string, status string, updated_at string"
+    old = spark.createDataFrame([(1, "a", "draft", "t0")], kind)
+    new = spark.createDataFrame([(1, "late", "x", "t3"), (1, "z", "x", "t2"), (1, None, "x", None), (2, "n", "y", "t1"), (2, "n", "y", "t1"), (2, "m", "y", "t1")], kind)
+    assert sorted(map(tuple, S.upsert(old, new).collect())) == [(1, "late", "draft", "t3"), (2, "n", "y", "t1")]
+    assert sorted(map(tuple, S.insert_ignore(old, new, ["id"], ("updated_at",)).collect())) == [(1, "a", "draft", "t0"), (2, "n", "y", "t1")]
+    held = spark.createDataFrame([(1, "a", "draft", 5), (3, "c", "draft", 0)], "id int, title string, status string, rev int")
+    change = spark.createDataFrame([(1, None, "done", "t9"), (1, "b", None, "t2"), (1, "c", "open", "t1")], kind)
+    assert sorted(map(tuple, S.patch(held, change, ["title", "status"], "rev").collect())) == [(1, "b", "done", 8), (3, "c", "draft", 0)]
+    assert S.upsert(old, new.limit(0)).count() == S.patch(old, new.limit(0), ["title"]).count() == 1
+
+
 def test_patch_and_version(spark):
     old = spark.createDataFrame([(1, "a", "x", 0), (2, "b", "y", 4)], "id int, text string, owner string, rev int")
     change = spark.createDataFrame([(2, "B", "evil")], "id int, text string, owner string")
