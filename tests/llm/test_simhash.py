@@ -82,3 +82,40 @@ def test_messy_rows(spark):
     assert not {2, 3, 8} & set(left) and left.count(1) == 2 and left.count(None) == 1 and left.count(4) == 1
     assert X.near_duplicates(messy.empty(spark)).count() == 0
     assert X.drop_near_duplicates(messy.empty(spark)).count() == 0
+
+
+def test_search_by_parts_finds_what_all_pairs_find_and_compares_few():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**64, (3000, 2), dtype=np.uint64)
+    for k in range(1500):  # edits at the radius, one below and one above, spread over the bits
+        flip = np.zeros(128, np.uint8)
+        flip[rng.permutation(128)[: 19 + k % 3]] = 1
+        h[1500 + k] = h[k] ^ np.packbits(flip).view(">u8").astype(np.uint64)
+    params, labels, met = X.SimHashParams(), np.arange(len(h)), 0
+    for part, subparts in enumerate(X.parts_of(params.radius)):
+        for sub, bits in enumerate(subparts):
+            values = X.bits_between(h, *bits)
+            masks = X.masks_of(subparts, sub, 2)
+            for v in np.unique(values):
+                group = np.flatnonzero(values == v)
+                found = X.search(h[group], np.zeros(len(group), int), part, sub, params)
+                X.link(labels, group, group[found])
+                lo, hi = subparts[0][0], subparts[-1][1]
+                met += sum(n.sum() for *_, n in X.runs(np.sort(X.bits_between(h[group], lo, hi)), None, masks, 1 << (hi - lo)))
+    want = X.forest(h, np.zeros(len(h), int), params.radius, params.tile)
+    assert (labels == want).all() and (want[1500:] == np.arange(1500)).sum() >= 1000
+    assert met < 0.02 * len(h) * (len(h) - 1) / 2
+
+
+def test_cut_groups_and_like_fingerprints_change_nothing(spark):
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 2**64, (400, 2), dtype=np.uint64)
+    h[200:] = h[:1] ^ (np.uint64(1) << rng.integers(0, 64, (200, 2), dtype=np.uint64))  # a family that shares most subparts
+    h = np.unique(h, axis=0)
+    want = X.forest(h, np.zeros(len(h), int), 20, 4096)
+    prints = spark.createDataFrame([(k, *map(int, x)) for k, x in enumerate(h.view(np.int64))], "node long, h0 long, h1 long")
+    for params in (X.SimHashParams(), X.SimHashParams(block=90), X.SimHashParams(dense=10**6)):
+        labels = np.arange(len(h))
+        edges = np.array([tuple(r) for r in X.near_edges(prints, params).collect()])
+        X.link(labels, edges[:, 0], edges[:, 1])
+        assert (labels == want).all()
