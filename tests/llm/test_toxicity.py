@@ -80,3 +80,22 @@ def test_fit_with_null_labels_and_empty_tables(spark):
     for rows in ([], [(1, None, 1, "x"), (None, 1, 1, "x"), (1, 1, 0, "x"), (9, 0, 0, "x")]):
         model = X.fit(messy.docs(spark), spark.createDataFrame(rows, kind), PARAMS)
         assert X.classify(messy.docs(spark), model).count() == len(messy.rows())
+
+
+def test_rows_beyond_the_first_train_and_calibrate_too(spark):
+    texts, toxic, _ = corpus(4000, 5)
+    params = X.ToxicityParams(sample_rows=200, workers=2)
+    labels = spark.createDataFrame([(k, y) for k, y in enumerate(toxic)], "doc_id long, toxic int")
+    first = {r["doc_id"] for y in (0, 1) for r in X.bounded_sample(labels.where(f"toxic = {y}"), "doc_id", 200).collect()}
+    other = lambda t: t.replace("vileword", "gruffterm").replace("nastyword", "gruffterm").replace("foulword", "gruffterm")
+    texts = [t if k in first else other(t) for k, t in enumerate(texts)]  # its words are in no row of the first
+    docs = spark.createDataFrame([(k, t, ["en", "fr", None][k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = X.fit(docs, labels, params)
+    fresh, truth, _ = corpus(300, 6)
+    for words in (fresh, list(map(other, fresh))):
+        assert ((X.score(words, model) >= model.thresholds[None]) == np.array(truth, bool)).mean() > 0.97
+    scores, held = X.score(texts, model), X.is_held(texts, params)
+    for lang in ("en", "fr", None):  # the thresholds are those that all rows give, each counted by itself
+        want = X.ToxicityModel(**{**model.__dict__, "thresholds": {}})
+        X.calibrate(want, scores, np.array(toxic), [["en", "fr", None][k % 3] for k in range(len(texts))], held)
+        assert ((scores >= model.thresholds[lang]) == (scores >= want.thresholds[lang])).mean() > 0.999
