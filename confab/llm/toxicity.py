@@ -142,8 +142,11 @@ def _supported(feats: np.ndarray, docs: list[np.ndarray], support: np.ndarray, p
 
 
 def _count(feats: np.ndarray, docs: list[np.ndarray], support: np.ndarray) -> None:
+    met = np.zeros(len(support), bool)
     for doc in docs:
-        support[np.unique(feats[doc])] += 1
+        met[:] = False
+        met[feats[doc]] = True
+        support += met
 
 
 class Trainer:
