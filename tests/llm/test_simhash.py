@@ -119,3 +119,22 @@ def test_cut_groups_and_like_fingerprints_change_nothing(spark):
         edges = np.array([tuple(r) for r in X.near_edges(prints, params).collect()])
         X.link(labels, edges[:, 0], edges[:, 1])
         assert (labels == want).all()
+
+
+def test_fingerprints_are_taken_once_and_texts_not_shuffled(spark, monkeypatch):
+    docs = messy.docs(spark)
+    with_shuffle = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    planned, write = [], X.cut_lineage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(X, "cut_lineage", lambda df, name: (planned.append(plan(df)), write(df, name))[1])
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = X.drop_near_duplicates(docs)
+        assert planned and max(p.count("ArrowEvalPython") for p in planned) == 1
+        assert "BroadcastHashJoin" in plan(kept) and "SortMergeJoin" not in plan(kept)
+        monkeypatch.setattr(X, "MAX_BROADCAST", 0)  # beyond the bound: the same rows by a shuffle
+        shuffled = X.drop_near_duplicates(docs)
+        assert "SortMergeJoin" in plan(shuffled)
+        assert kept.count() < docs.count() and sorted(map(str, kept.collect())) == sorted(map(str, shuffled.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_shuffle)
