@@ -488,12 +488,19 @@ def redact_column(model: SecretModel, text: str = "text") -> Column:
     def redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = Tagger(model)
         for batch in batches:
-            parts = [pa.array([redact(t, s) for t, s in zip(texts, tagger.spans(texts))], batch.type) for _, texts in text_blocks(batch)]
-            yield pa.concat_arrays(parts) if parts else batch
+            yield from masked_parts(batch, tagger)
 
     return redacted(F.col(text))
 
 
+def masked_parts(batch: pa.Array, tagger: Tagger) -> Iterator[pa.Array]:
+    """The masked texts of a batch, about 1 MB at a time, lest a worker hold them all beside those it got."""
+    for _, texts in text_blocks(batch):
+        yield pa.array([redact(t, s) for t, s in zip(texts, tagger.spans(texts))], batch.type)
+    if not len(batch):
+        yield batch
+
+
 def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
     """(doc_id, start, end): one row a secret."""
     found = docs.select("doc_id", F.explode(span_column(model)).alias("span"))

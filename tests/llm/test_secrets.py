@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from confab.llm import secrets as X
@@ -92,3 +93,16 @@ def test_messy_rows(spark, model):
     assert X.scan(messy.empty(spark), model).count() == 0
     small = X.SecretParams(generated=50, epochs=1)
     assert X.scan(docs, X.fit(messy.empty(spark), small)).columns == ["doc_id", "start", "end"]
+
+
+def test_masked_texts_leave_a_worker_in_pieces(spark, model):
+    texts = [None, "", *prose(4, 9), "password = hunter2hunter2hunter2 " * 30_000, *["plain words here " * 20_000] * 6]
+    batch = pa.array(texts, pa.string())
+    parts = list(X.masked_parts(batch, X.Tagger(model)))
+    tagger = X.Tagger(model)
+    want = [X.redact(t, s) for t, s in zip(texts, tagger.spans(texts))]
+    assert [t for p in parts for t in p.to_pylist()] == want and want[6] != texts[6]
+    assert len(parts) > 2 and max(p.nbytes for p in parts) < batch.nbytes / 2
+    assert len(list(X.masked_parts(batch[:0], tagger))) == 1
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["text"] for r in X.mask_secrets(rows, model).collect()} == dict(enumerate(want))
