@@ -156,6 +156,12 @@ def test_overview_and_fences(spark):
     assert key[0] == "sk-a***ghij" and key[1] == {"m": "1", "has_api_key": "true"}
 
 
+def test_lines_keep_digits_and_lose_spaces(spark):
+    texts = spark.createDataFrame([(1, "0 of 490\n  171 \n \n\u3000\u00a02002\u2003\n\tx\r"), (2, None), (3, ""), (4, " ")], "record long, text string")
+    found = Z.text_to_segments(texts).orderBy("record", "idx").collect()
+    assert [tuple(r) for r in found] == [(1, k, k * 10_000, t) for k, t in enumerate(["0 of 490", "171", "2002", "\tx\r"])]
+
+
 class Failing:
     def complete(self, prompt):
         raise RuntimeError("x" * 2000)
