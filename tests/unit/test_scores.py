@@ -177,3 +177,16 @@ def test_verify_speaker_takes_messy_vectors(spark):
     assert found == {1: ("a", 1.0), **{k: (None, 0.0) for k in range(2, 7)}}
     assert W.verify_speaker(probes, voices.limit(0)).where("speaker is not null").count() == 0
     assert "Exchange" not in W.verify_speaker(probes, voices)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_ranked_without_gathering_them(spark):
+    made = [("common", 260), ("often", 9), ("aa", 5), ("b" * 400 + "y", 5), ("b" * 400 + "x", 5), ("cc", 5), ("rare", 2)]
+    words = spark.createDataFrame([(w, n, 1) for w, n in made], "word string, count long, df long").repartition(3)
+    for most in range(len(made) + 1):
+        want = [w for w, n in sorted(made, key=lambda r: (-r[1], r[0]))[:most] if 3 <= n <= 200]
+        assert sorted(r["word"] for r in E.most_frequent(words, most, 3, 200).collect()) == sorted(want)
+    texts = spark.createDataFrame([(k % 2, f"{w} 1") for w, n in made for k in range(n)], "meeting int, text string")
+    mined = E.mine_hotwords(texts, candidates=5)
+    assert "limit=5," not in mined._jdf.queryExecution().executedPlan().toString()  # the candidates of all tasks in one
+    assert len(mined.collect()) == len({r["word"] for r in mined.collect()}) == 3
+    assert E.mine_hotwords(texts.limit(0)).count() == 0
