@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,29 @@ def test_map_reduce_keeps_errors(spark):
     assert Z.summarize_many(items, records, Failing).first()["failed"] == 2
 
 
+class Traced:
+    """Answers with how many texts of 100,000 characters Python holds."""
+
+    def __init__(self):
+        tracemalloc.start()
+
+    def complete(self, prompt):
+        return {"overview": str(sum(100_000 <= t.size < 110_000 for t in tracemalloc.take_snapshot().traces))}
+
+    def __del__(self):
+        tracemalloc.stop()
+
+
+def test_prompts_of_a_batch_are_not_all_held(spark):
+    prompts = spark.range(0, 200, 1, 1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("word "), F.lit(20_000))).alias("p"))
+    rows = prompts.select("id", Z.asked(F.col("p"), Traced).alias("a")).select("id", F.get_json_object("a.answer", "$.overview").cast("int").alias("held")).collect()
+    assert sorted(r["id"] for r in rows) == list(range(200)) and 1 <= max(r["held"] for r in rows) < 40
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(['{"overview": "o"}', None, "", "{", '{"overview": "' + "x" * 3_000_000 + '"}'] * 3)], "id int, t string").coalesce(1)
+    found = {r["id"]: json.loads(r["t"])["overview"] for r in texts.select("id", Z.normalized_answers(F.col("t")).alias("t")).collect()}
+    assert [len(found[k]) for k in range(15)] == [1, 0, 0, 0, 3_000_000] * 3
+    assert spark.range(0).select(Z.asked(F.col("id").cast("string"), P.FirstLinesSummarizer).alias("a")).collect() == []
+
+
 def test_states_are_final(spark):
     rows = [(1, 1, "pending", 0.0, None), (1, 2, "failed", 0.5, "e"), (1, 3, "processing", 0.6, None)]
     assert Z.latest_state(spark.createDataFrame(rows, "id int, at int, status string, progress double, error string")).first()["status"] == "failed"
